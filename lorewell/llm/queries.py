@@ -35,6 +35,54 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_table(_t(spark, sf_dir, "semantic_chunk_output").select("pos", "chunk"), "pos", "chunk")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.found(_t(spark, sf_dir, "semantic_chunk_output"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.groups(_t(spark, sf_dir, "semantic_chunk_output"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import knn
+
+    return knn.found(_t(spark, sf_dir, "semantic_chunk_vector"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import knn
+
+    return knn.neighbour_lists(_t(spark, sf_dir, "semantic_chunk_vector"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import leakage
+
+    return leakage.found(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import leakage
+
+    return leakage.leaked_items(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repetition
+
+    return repetition.found(_t(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repetition
+
+    return repetition.measure(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
