@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import materialise, out_batch, slices
+from .minhash import min_bits
 from .records import keyed
 
 SHINGLE, THRESHOLD = 8, 0.7
@@ -70,7 +71,7 @@ def list_keys(sketch: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def listings(chunks: DataFrame, text: str = "chunk") -> DataFrame:
-    """(h, t, n): list, key of the text, number of its distinct shingles; a text once per Arrow slice."""
+    """(h, t, n, bits): list, key of the text, number of its distinct shingles, its one-bit min-hashes; a text once per Arrow slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -81,21 +82,28 @@ def listings(chunks: DataFrame, text: str = "chunk") -> DataFrame:
             once = np.zeros(len(t), bool)
             once[np.unique(t, return_index=True)[1]] = True
             once &= np.diff(off) >= 20
-            sk, t, n = sketches(sets, cuts)[once], t[once], n[once]
+            sk, t, n, bits = sketches(sets, cuts)[once], t[once], n[once], min_bits(sets, cuts)[once]
             row, h = list_keys(sk, n)
-            yield out_batch({"h": K.signed(h), "t": K.signed(t[row]), "n": n[row].astype(np.int32)})
+            yield out_batch({"h": K.signed(h), "t": K.signed(t[row]), "n": n[row].astype(np.int32), "bits": K.signed(bits[row])})
 
-    return chunks.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).mapInArrow(run, "h bigint, t bigint, n int")
+    return chunks.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).mapInArrow(run, "h bigint, t bigint, n int, bits bigint")
 
 
 def candidates(entries: DataFrame) -> DataFrame:
-    """Distinct pairs (ta < tb) of texts that meet in a list and whose sizes allow the threshold."""
+    """Distinct pairs (ta < tb) of texts that meet in a list and whose sizes and one-bit min-hashes allow the threshold.
+
+    At the threshold T the bits differ with chance (1 - T) / 2; a pair passes up to four standard
+    deviations more, where a set of n shingles fills about 64 * (1 - exp(-n / 64)) of the 64 bins.
+    """
     # one exchange by list serves both the removal of repeated texts and the self-join
     once = entries.repartition("h").dropDuplicates(["h", "t"])
-    a = once.select("h", F.col("t").alias("ta"), F.col("n").alias("na"))
-    b = once.select("h", F.col("t").alias("tb"), F.col("n").alias("nb"))
+    a = once.select("h", F.col("t").alias("ta"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = once.select("h", F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     near = (F.col("na") >= F.col("nb") * THRESHOLD) & (F.col("nb") >= F.col("na") * THRESHOLD)
-    return a.join(b, "h").where((F.col("ta") < F.col("tb")) & near).select("ta", "tb").distinct()
+    apart = (1 - THRESHOLD) / 2
+    bins = 1 - F.exp(-F.least("na", "nb") / 64.0)
+    alike = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= 64 * apart + 4 * F.sqrt(64 * apart * (1 - apart) / bins)
+    return a.join(b, "h").where((F.col("ta") < F.col("tb")) & near & alike).select("ta", "tb").distinct()
 
 
 def verify(pairs: DataFrame, keep: list[str], schema: str, threshold: float = THRESHOLD) -> DataFrame:

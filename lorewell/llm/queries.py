@@ -11,6 +11,30 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import boilerplate
+
+    return boilerplate.found(_t(spark, sf_dir, "web_results"))
+
+
+def p1_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import boilerplate
+
+    return boilerplate.label(_t(spark, sf_dir, "web_results"), keep=("url",)).select("page_id", "url", "body")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mojibake
+
+    return mojibake.found(_t(spark, sf_dir, "web_results"))
+
+
+def p2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mojibake
+
+    return mojibake.repair(_t(spark, sf_dir, "web_results"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import copies
 
@@ -23,6 +47,12 @@ def p3_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapse(_t(spark, sf_dir, "semantic_chunk_output"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import forest
+
+    return forest.found(_t(spark, sf_dir, "semantic_chunk_output"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import splitting
 
@@ -71,6 +101,19 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mixture(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    targets = _t(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixture(_t(spark, sf_dir, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repetition
 
