@@ -15,6 +15,7 @@ with the labels kept, so that garbled frames are known as well.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from .common import out_batch, slices
 from .lstm import Batch, Labeller
 
 #: Pages that the labeller is trained on, drawn by a hash of the id.
-SAMPLE_PAGES, EPOCHS = 1600, 7
+SAMPLE_PAGES, EPOCHS = 1600, 5
 
 WORDS, WIDTH, HIDDEN = 1 << 14, 24, 32
 
@@ -67,7 +68,7 @@ _NOTICES = regex.compile(
 )
 _NAV = "(?:" + "|".join(map(regex.escape, sorted(NAVIGATION, key=len, reverse=True))) + ")"
 _MENU = regex.compile(rf"\s*{_NAV}(?:\s*[|｜·•>»/,–-]?\s*{_NAV})*\s*")
-_CRUMBS = regex.compile(rf"\s*{_NAV}(?:\s*[>»/›]\s*[^>»/›]{{1,80}})+\s*")
+_CRUMBS = regex.compile(rf"\s*{_NAV}(?:\s*[|｜·•]\s*{_NAV})*(?:\s*[>»/›]\s*[^>»/›]{{1,80}})+\s*")
 _HEADING = regex.compile(r"\s*(?:" + "|".join(map(regex.escape, LIST_HEADINGS)) + r")\s*[:：]?\s*")
 _TEASER = regex.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*$")
 _SENTENCE = regex.compile(r"[.!?;。！？；:：{}()=]\s*$|^\s*[-*•#]|[;=<>{}]|0x")
@@ -110,14 +111,11 @@ def word_ids(line: str) -> list[int]:
     if not words:
         return []
     grams = [*words, *(a + "\x01" + b for a, b in zip(words, words[1:], strict=False)), "^" + words[0], words[-1] + "$"]
-    return [_hash(g) for g in grams[:400]] if len(grams) <= 400 else [_hash(g) for g in grams]
+    return [_hash(g) for g in grams]
 
 
 def _hash(s: str) -> int:
-    h = 2166136261
-    for b in s.encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) & (WORDS - 1)
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & (WORDS - 1)
 
 
 def line_shape(line: str, i: int, n: int) -> list[float]:
@@ -168,7 +166,7 @@ def make_batch(pages: list[list[str]]) -> Batch:
     return Batch(shapes, np.array(ids, np.int64), np.array(starts, np.int64), lengths)
 
 
-def _batches(pages: list[list[str]], labels: list[list[int]], size: int = 32) -> list[tuple[Batch, np.ndarray, np.ndarray]]:
+def _batches(pages: list[list[str]], labels: list[list[int]], size: int = 64) -> list[tuple[Batch, np.ndarray, np.ndarray]]:
     order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
     out = []
     for lo in range(0, len(order), size):
