@@ -1,11 +1,364 @@
-"""Queries over the reference's operators, and their SQL."""
+"""Queries over the engine's own operators, one a survey item or group of items, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorewell.config import Settings
+from lorewell.functions import text as tx
+from lorewell.functions import vector as vx
+from lorewell.operators import chunking, embed, merge, multihop, prompts, recall
+from lorewell.operators import search as vs
+from lorewell.plans.ingest import ingest_chunks as ingest_plan
+from lorewell.plans.session import cut, table
+from lorewell.sources import pages as pg
+
+SETTINGS = Settings()
+
+#: A question's keywords, for the recall queries.
+KEYWORDS = recall.scaled_keywords([("fifo", 2.0), ("notes", 1.0), ("设计", 1.5), ("Takt", 0.5), ("registre", 1.0)])
+
+_QUERY = F.col("vec_id") % 50 == 0
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), "label")
+
+
+def _questions(spark, d):
+    return table(spark, d, "embeddings").where(_QUERY).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def _pages(spark, d):
+    return table(spark, d, "web_results").select(F.col("page_id").alias("pos"), "url", "title", "text")
+
+
+def _ranked_docs(spark, d, k):
+    rows = _docs(spark, d).where("source IS NOT NULL").select("source", "doc_id", F.coalesce("title", F.lit("")).alias("title"))
+    return merge.best(rows, ["source"], [F.asc("doc_id")], k)
+
+
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+
+
+def doc_gate(spark: SparkSession, d: str) -> DataFrame:
+    return clean_text(spark, d).where(tx.document_gate(F.col("clean"))).select("doc_id", F.length("clean").cast("bigint").alias("n"))
+
+
+def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tx.clean_text(F.col("text")).alias("t")).where(tx.document_gate(F.col("t")))
+    parts = docs.select("doc_id", "source", F.posexplode(chunking.char_windows(F.col("t"))).alias("i", "chunk")).where(F.length("chunk") >= 20)
+    return parts.select("doc_id", F.col("i").cast("bigint").alias("i"), tx.chunk_id(F.col("source"), F.col("chunk")).alias("id"), "chunk")
+
+
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents(_docs(spark, d)).select("source", "ordinal", "id", "chunk", "method")
+
+
+def chunk_numbered(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents_numbered(_docs(spark, d))
+
+
+def ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return ingest_plan(_docs(spark, d).select(F.col("doc_id").alias("file_no"), "source", "ext", "text"))
+
+
+def embed_input(spark: SparkSession, d: str) -> DataFrame:
+    cut_ = tx.embed_input(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.length(cut_).cast("bigint").alias("n")).where("n IS NOT NULL")
+
+
+def blank_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "semantic_chunk_output").where(tx.not_blank(F.col("chunk"))).select("pos")
+
+
+def embed_documents(spark: SparkSession, d: str) -> DataFrame:
+    e = embed.embed_column(_docs(spark, d).select("doc_id", "text"), "text", embed.HashEmbedder(SETTINGS.embed_width))
+    return e.select("doc_id", F.size("vector").alias("width"))
+
+
+def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
+    have = table(spark, d, "semantic_chunk_vector").where("vector IS NOT NULL").select("id")
+    return table(spark, d, "semantic_chunk_output").where("id IS NOT NULL").join(have, "id", "left_anti").select("pos")
+
+
+def kb_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "semantic_chunk_output").select("id", "pos", "chunk", "source", "method")
+    return merge.upsert(rows, "id", "pos")
+
+
+def kb_list(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "kb_files").where("kb IS NOT NULL").select("kb")
+    return names.unionByName(spark.range(1).select(F.lit(SETTINGS.default_kb).alias("kb"))).distinct()
+
+
+def kb_file_list(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "kb_files").where("kb IS NOT NULL AND name IS NOT NULL").select("kb", "name").distinct()
+
+
+def kb_names(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", tx.kb_name(F.col("title")).alias("name"))
+
+
+def file_extensions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "kb_files").select("file_id", tx.file_extension(F.col("name")).alias("ext"))
+
+
+def batch_plan(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.batch_plan(_docs(spark, d), SETTINGS.embed_batch)
+
+
+def l2_normalise(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(vx.l2_normalise(F.col("embedding"))).alias("i", "x"))
+    return v.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+def _top(spark, d, metric):
+    hits = vs.search(_questions(spark, d), _vectors(spark, d), SETTINGS.top_k, metric)
+    return hits.select("qid", "pos", "score", F.col("rk").cast("bigint").alias("rk"))
+
+
+def topk_ip(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, "ip")
+
+
+def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, "cosine")
+
+
+def topk_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _top(spark, d, "l2")
+
+
+def search_chunks(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "semantic_chunk_vector").select(F.col("vec_no").alias("pos"), "id", "vector")
+    q = v.where("pos % 50 = 0").select(F.col("pos").alias("qid"), "vector").where(F.size("vector") == 64)
+    hits = vs.search(q, v.where(F.size("vector") == 64), SETTINGS.top_k, "ip")
+    return hits.join(v.select("pos", "id"), "pos").select("qid", "pos", "id", "score", F.col("rk").cast("bigint").alias("rk"))
+
+
+def index_plan(spark: SparkSession, d: str) -> DataFrame:
+    return vs.index_plan(table(spark, d, "semantic_chunk_vector"))
+
+
+def ivf_probe1(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    means = v.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    # one row per label, as many as an index has cells
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")).orderBy("label").limit(128).collect()
+    q = vs.assign_cells(_questions(spark, d), [(r["label"], r["c"]) for r in rows])
+    hits = vs.search_cells(q, v.withColumn("cell", F.col("label").cast("bigint")), SETTINGS.top_k)
+    return hits.select("qid", "pos", "distance", F.col("rk").cast("bigint").alias("rk"))
+
+
+def ivf_kmeans(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "semantic_chunk_vector").where(F.size("vector") == 64).where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x))).select(F.col("vec_no").alias("pos"), "vector")
+    plan = vs.index_plan(v).first()
+    cells = [(int(r.cell), r.centroid) for r in vs.train_cells(v, plan["nlist"]).itertuples()]
+    q = vs.assign_cells(v.where("pos % 50 = 0").withColumnRenamed("pos", "qid"), cells, metric="l2")
+    hits = vs.search_cells(q, vs.assign_cells(v, cells, metric="l2"), SETTINGS.top_k)
+    return hits.select("qid", "pos", "distance", F.col("rk").cast("bigint").alias("rk"))
+
+
+def rank_by_score_dedup(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+    q = v.where("pos = 0").select(F.col("vector").alias("q"))
+    # the question is one row
+    scored = v.crossJoin(F.broadcast(q)).select("pos", F.round(vx.dot(F.col("vector"), F.col("q")), 2).alias("score"))
+    return merge.collapse_scores(scored, "score", "pos")
+
+
+def page_results(spark: SparkSession, d: str) -> DataFrame:
+    return pg.result_links(_pages(spark, d)).select("url", "pos", "title")
+
+
+def web_background(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select("pos", tx.web_background(F.col("text"), SETTINGS.background_cap).alias("background"))
+
+
+def segment_text(spark: SparkSession, d: str) -> DataFrame:
+    parts = _pages(spark, d).select("pos", F.posexplode(chunking.segment_column(F.col("text"), SETTINGS.segment_length)).alias("i", "segment"))
+    return parts.select("pos", F.col("i").cast("bigint").alias("i"), "segment")
+
+
+def recall_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return recall.sentences_of(_pages(spark, d), SETTINGS).select("sentence", "pos")
+
+
+def keywords_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    k = recall.keywords_tfidf(_docs(spark, d), "doc_id", "text", SETTINGS.top_keywords)
+    return k.select("doc_id", "word", "weight", F.col("rk").cast("bigint").alias("rk"))
+
+
+def title_score(spark: SparkSession, d: str) -> DataFrame:
+    return recall.score_titles(_pages(spark, d), KEYWORDS)
+
+
+def title_top(spark: SparkSession, d: str) -> DataFrame:
+    return recall.top_titles(_pages(spark, d), KEYWORDS, SETTINGS.top_titles)
+
+
+def recall_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_by_keywords(_pages(spark, d), KEYWORDS, SETTINGS)
+
+
+def history_prompt(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("user_text"), F.col("props").alias("assistant_text"))
+    return prompts.history_prompt(turns, SETTINGS.history_turns)
+
+
+def context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.contexts(_ranked_docs(spark, d, 5), ["source"], "title")
+
+
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.previews(_ranked_docs(spark, d, 5), ["source"], "title", first=3, chars=12).withColumn("rk", F.col("rk").cast("bigint"))
+
+
+def hit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.summary(_ranked_docs(spark, d, 12), ["source"], "title")
+
+
+def reasoning_parse(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "events").select("event_id", tx.parse_reasoning(F.col("props")).alias("r"))
+    n = lambda c: F.size(c).cast("bigint")
+    return r.select("event_id", "r.analysis", n(F.col("r.missing_info")).alias("n_missing"), n(F.col("r.follow_up_queries")).alias("n_follow_up"), tx.yes_no(F.col("r.is_sufficient")).alias("sufficient"))
+
+
+def answer_route(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d)
+    return p.groupBy(prompts.route(F.col("title").isNotNull(), F.col("url").isNotNull()).alias("route")).agg(F.count("*").alias("n"))
+
+
+def _hop_search(corpus: DataFrame) -> multihop.SearchFn:
+    def run(queries: DataFrame, k: int) -> DataFrame:
+        asked = queries.withColumn("sid", F.col("qid") * 1000 + F.col("fid"))
+        hits = vs.search(asked.select("sid", "payload"), corpus, k, "ip", q_key="sid", q_vector="payload")
+        return hits.select(F.floor(F.col("qid") / 1000).cast("bigint").alias("qid"), (F.col("qid") % 1000).alias("fid"), F.col("pos").alias("item"), "rk")
+
+    return run
+
+
+def multihop_search(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d)
+
+    def second_hit(hits: DataFrame) -> DataFrame:
+        return hits.where("rk = 2").join(v.select(F.col("pos").alias("item"), "vector"), "item").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "vector"))), lambda s: s["vector"]).alias("follow_ups"))
+
+    questions = _questions(spark, d).withColumnRenamed("vector", "payload")
+    hits = multihop.multihop(questions, _hop_search(v), multihop.ScriptedReasoner(second_hit), SETTINGS, cut)
+    return hits.select("qid", "item", F.col("hop").cast("bigint").alias("hop"), F.col("rk").cast("bigint").alias("rk"))
+
+
+def simple_answer(spark: SparkSession, d: str) -> DataFrame:
+    hits = _top(spark, d, "ip").withColumn("chunk", F.concat(F.lit("vector "), F.col("pos")))
+    asked = _questions(spark, d).select("qid", F.concat(F.lit("question "), F.col("qid")).alias("question"))
+    return multihop.answer(asked, hits, multihop.TemplateGenerator())
+
+
+_QUERIES = [
+    clean_text, doc_gate, chunk_windows, chunk_documents, chunk_numbered, ingest_chunks, embed_input, blank_filter, embed_documents, missing_vectors, kb_upsert,
+    kb_list, kb_file_list, kb_names, file_extensions, batch_plan, l2_normalise, topk_ip, topk_cosine, topk_l2, search_chunks, index_plan, ivf_probe1, ivf_kmeans,
+    rank_by_score_dedup, page_results, web_background, segment_text, recall_sentences, keywords_tfidf, title_score, title_top, recall_keywords, history_prompt,
+    context_blocks, previews, hit_summary, reasoning_parse, answer_route, multihop_search, simple_answer,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+_WS = r"[\t\n\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_WS_V = _WS.replace(r"\f", r"\x{0B}\f").replace(r"\x{1C}-\x{1F}", "")
+_CLEAN = rf"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '{_WS}+', ' ', 'g'))"
+_WEIGHTS = " + ".join(f"CASE WHEN contains(coalesce(title, ''), '{k}') THEN {w} ELSE 0.0 END" for k, w in KEYWORDS)
+_TITLES = f"SELECT title, min(page_id) AS pos, round({_WEIGHTS}, 4)::DOUBLE AS score FROM web_results GROUP BY title"
+_RANKED = "SELECT source, doc_id, coalesce(title, '') AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents WHERE source IS NOT NULL QUALIFY rk <= {}"
+
+
+def _top_sql(score: str) -> str:
+    return f"""SELECT q.vec_id AS qid, c.vec_id AS pos, round({score}, 6) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round({score}, 6) DESC, c.vec_id) AS rk
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) c
+        QUALIFY rk <= 5"""
+
+
+def _hop_sql(name: str, source: str, k: int) -> str:
+    return f"""{name} AS (SELECT q.qid, c.vec_id AS item, row_number() OVER (PARTITION BY q.qid ORDER BY round(list_dot_product(q.e, c.e), 6) DESC, c.vec_id) AS rk
+        FROM ({source}) q, v c QUALIFY rk <= {k})"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "clean_text": f"SELECT doc_id, {_CLEAN} AS clean FROM documents",
+        "doc_gate": f"SELECT doc_id, length({_CLEAN}) AS n FROM documents WHERE length({_CLEAN}) > 10",
+        "chunk_windows": f"""WITH t AS (SELECT doc_id, coalesce(source, '') AS source, {_CLEAN} AS t FROM documents),
+            w AS (SELECT doc_id, source, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 20) / 1980.0)::BIGINT - 1))) AS i FROM t WHERE length(t) > 10),
+            c AS (SELECT doc_id, i, source, trim(substr(t, 1 + 1980 * i, 2000)) AS chunk FROM w)
+            SELECT doc_id, i, md5(source || '_' || chunk) AS id, chunk FROM c WHERE length(chunk) >= 20""",
+        "embed_input": "SELECT doc_id, length(substr(text, 1, 8000)) AS n FROM documents WHERE length(text) > 0",
+        "blank_filter": f"SELECT pos FROM semantic_chunk_output WHERE length(regexp_replace(chunk, '{_WS_V}+', '', 'g')) > 0",
+        "missing_vectors": "SELECT pos FROM semantic_chunk_output WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM semantic_chunk_vector WHERE vector IS NOT NULL AND id IS NOT NULL)",
+        "kb_upsert": """SELECT id, min(pos) AS pos, arg_max({'v': chunk}, pos).v AS chunk, arg_max({'v': source}, pos).v AS source, arg_max({'v': method}, pos).v AS method
+            FROM semantic_chunk_output WHERE id IS NOT NULL GROUP BY id""",
+        "kb_list": "SELECT kb FROM kb_files WHERE kb IS NOT NULL UNION SELECT 'default'",
+        "kb_file_list": "SELECT DISTINCT kb, name FROM kb_files WHERE kb IS NOT NULL AND name IS NOT NULL",
+        "kb_names": r"SELECT doc_id, regexp_replace(trim(title), '[^\p{L}\p{N}_]', '_', 'g') AS name FROM documents",
+        "file_extensions": r"SELECT file_id, lower(regexp_extract(regexp_extract(name, '([^/]*)$', 1), '^\.*[^.].*?(\.[^.]*)$', 1)) AS ext FROM kb_files",
+        "batch_plan": "SELECT (rn - 1) // 10 AS batch_no, count(*) AS n_rows FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rn FROM documents) GROUP BY 1",
+        "l2_normalise": """SELECT vec_id, unnest(generate_series(0, len(embedding)::BIGINT - 1)) AS i,
+            round(unnest(embedding)::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12), 6) AS x FROM embeddings""",
+        "topk_ip": _top_sql("list_dot_product(q.e, c.e)"),
+        "topk_cosine": _top_sql("list_cosine_similarity(q.e, c.e)"),
+        "topk_l2": _top_sql("0 - list_distance(q.e, c.e) ** 2"),
+        "search_chunks": """WITH v AS (SELECT vec_no, id, vector::DOUBLE[] AS e FROM semantic_chunk_vector
+                WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+            SELECT q.vec_no AS qid, c.vec_no AS pos, c.id, round(list_dot_product(q.e, c.e), 6) AS score,
+            row_number() OVER (PARTITION BY q.vec_no ORDER BY round(list_dot_product(q.e, c.e), 6) DESC, c.vec_no) AS rk
+            FROM v q, v c WHERE q.vec_no % 50 = 0 QUALIFY rk <= 5""",
+        "index_plan": """SELECT n AS n_vectors, CASE WHEN n >= 39 THEN least(n // 39, 128) ELSE 1 END::BIGINT AS nlist, CASE WHEN n >= 39 THEN 'ivf' ELSE 'flat' END AS kind,
+            CASE WHEN n >= 39 THEN 'l2' ELSE 'ip' END AS metric FROM (SELECT count(*) AS n FROM semantic_chunk_vector WHERE len(vector) > 0)""",
+        "ivf_probe1": """WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+            m AS (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM x) GROUP BY label, i),
+            c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
+            q AS (SELECT x.vec_id AS qid, x.e, c.label FROM x, c WHERE x.vec_id % 50 = 0
+                QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x.e, c.c), 9) DESC, c.label) = 1)
+            SELECT qid, x.vec_id AS pos, round(list_distance(q.e, x.e) ** 2, 6) AS distance,
+            row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(q.e, x.e) ** 2, 6), x.vec_id) AS rk
+            FROM q JOIN x ON q.label = x.label QUALIFY rk <= 5""",
+        "rank_by_score_dedup": """SELECT round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 2) AS score, max(c.vec_id) AS pos
+            FROM embeddings c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q GROUP BY 1""",
+        "page_results": """SELECT url, page_id AS pos, trim(split_part(title, '-', 1)) AS title FROM web_results
+            WHERE contains(url, 'http') AND NOT contains(url, 'doc.') QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
+        "web_background": f"SELECT page_id AS pos, substr(trim(regexp_replace(text, '{_WS_V}+', ' ', 'g')), 1, 1500) AS background FROM web_results",
+        "keywords_tfidf": r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents),
+            tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+            n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+            s AS (SELECT doc_id, word, round(tf / n * ln((SELECT count(*) FROM documents) / df), 6) AS weight FROM tf JOIN df USING (word) JOIN n USING (doc_id))
+            SELECT doc_id, word, weight, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, word) AS rk FROM s QUALIFY rk <= 5""",
+        "title_score": _TITLES,
+        "title_top": f"SELECT * FROM ({_TITLES}) ORDER BY score DESC, pos LIMIT 3",
+        "history_prompt": """SELECT conv_id, string_agg('用户: ' || coalesce(event_type, '') || chr(10) || '助手: ' || coalesce(props, ''), chr(10) ORDER BY event_id) AS history
+            FROM (SELECT user_id AS conv_id, * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3) GROUP BY conv_id""",
+        "context_blocks": f"SELECT source, string_agg('[Chunk ' || rk || ']: ' || title, chr(10) || chr(10) ORDER BY rk) AS context FROM ({_RANKED.format(5)}) GROUP BY source",
+        "previews": f"SELECT source, rk, substr(title, 1, 12) || '...' AS preview FROM ({_RANKED.format(3)})",
+        "hit_summary": f"""SELECT source, string_agg('**检索块 ' || rk || '**: ' || title, chr(10) || chr(10) ORDER BY rk) FILTER (rk <= 10) AS summary,
+            greatest(count(*) - 10, 0) AS n_more FROM ({_RANKED.format(12)}) GROUP BY source""",
+        "reasoning_parse": "SELECT event_id, '' AS analysis, 0::BIGINT AS n_missing, 0::BIGINT AS n_follow_up, '否' AS sufficient FROM events",
+        "answer_route": """SELECT CASE WHEN title IS NOT NULL AND url IS NOT NULL THEN 'merge' WHEN url IS NOT NULL THEN 'local' WHEN title IS NOT NULL THEN 'web' ELSE 'none' END AS route,
+            count(*) AS n FROM web_results GROUP BY 1""",
+        "multihop_search": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+            {_hop_sql("h0", "SELECT vec_id AS qid, e FROM v WHERE vec_id % 50 = 0", 5)},
+            {_hop_sql("h1", "SELECT qid, e FROM h0 JOIN v ON v.vec_id = h0.item WHERE rk = 2", 3)},
+            {_hop_sql("h2", "SELECT qid, e FROM h1 JOIN v ON v.vec_id = h1.item WHERE rk = 2", 3)},
+            a AS (SELECT *, 0::BIGINT AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2)
+            SELECT qid, item, hop, rk FROM a QUALIFY row_number() OVER (PARTITION BY qid, item ORDER BY hop, rk) = 1""",
+    }
