@@ -110,6 +110,9 @@ def train_cells(corpus: DataFrame, nlist: int, key: str = "pos", vector: str = "
     from pyspark.ml.functions import array_to_vector
 
     sample = corpus.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).orderBy(F.xxhash64(key), key).limit(sample_rows)
+    if nlist < 2:
+        rows = [r[0] for r in sample.select(F.col(vector).cast("array<double>")).collect()]  # bounded by sample_rows
+        return pd.DataFrame({"cell": [0], "centroid": [np.mean(rows, axis=0).tolist()]} if rows else {"cell": [], "centroid": []})
     points = sample.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     centres = KMeans(k=nlist, seed=seed, maxIter=10).fit(points).clusterCenters()
     return pd.DataFrame({"cell": range(len(centres)), "centroid": [list(map(float, c)) for c in centres]})
