@@ -98,6 +98,7 @@ def garble(text: str, chain: str) -> str | None:
 _WESTERN = re.compile(r"[\x00-\x7fàâäçéèêëîïôöùûüßœÀÂÄÇÉÈÊÎÔÖÙÛÜ–’“”…«»·©°µ±]+")
 _IN_WORD = re.compile(r"(?<=[A-Za-z])[“”…«»·©°µ±ÀÂÄÇÉÈÊÎÔÖÙÛÜ](?=[a-z])")
 _LETTERS_ONLY = re.compile(r"[A-Za-zàâäçéèêëîïôöùûüßœÄÖÜÉÈÊÀÇ’'-]+[.,;:!?)»]*")
+_MARKS = ("[…]", "–")
 _STRANGE = re.compile("[\u0250-\u036f\u0460-\u1fff]")
 
 
@@ -115,6 +116,8 @@ def _plausible(text: str, chain: str) -> bool:
         except UnicodeEncodeError:
             return False
         return sum("一" <= c <= "鿿" for c in text) >= 2 or len(text) == 1
+    if chain.startswith("cp1252") and text in _MARKS:
+        return True
     if chain.startswith("cp1252"):
         return _WESTERN.fullmatch(text) is not None and not _IN_WORD.search(text) and any(c.isascii() and c.isalpha() for c in text)
     return True
@@ -122,6 +125,8 @@ def _plausible(text: str, chain: str) -> bool:
 
 def _certain(restored: str, chain: str) -> bool:
     """Whether a strict inversion alone proves the chain; else the classifier must also call the token garbled."""
+    if restored in _MARKS or chain == "cp1252 as mac-roman" and restored.endswith("…") and restored[:-1].isascii():
+        return True
     if chain == "cp1252 as gbk":
         return _LETTERS_ONLY.fullmatch(restored) is not None and len(restored) > 3
     return not chain.startswith("cp1252") and (not chain.startswith("gbk") or len(restored) > 1)
