@@ -1,5 +1,26 @@
 """SQL that DuckDB can run on the same tables, for the queries that SQL can express."""
 
+_LETTERS = r"regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')"
+
+
+def _runs(table: str, key: str, k: int) -> str:
+    """Every run of k letters and digits of each text, with its place from 1."""
+    return f"""SELECT {key}, t, i, substr(t, i, {k}) AS g
+        FROM (SELECT {key}, {_LETTERS} AS t FROM {table}), unnest(generate_series(1, length(t) - {k - 1})) AS u(i) WHERE length(t) >= {k}"""
+
+
 SQL: dict[str, str] = {
+    "p5_found": """WITH v AS (SELECT id, vector::DOUBLE[] AS e FROM semantic_chunk_vector WHERE id IS NOT NULL AND len(vector) = 64
+            AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY vec_no) = 1),
+        n AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id
+            QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) <= 5)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n""",
     "p7_found": "SELECT pos FROM semantic_chunk_output WHERE length(chunk) > 2000",
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id', 60)}) d JOIN ({_runs('eval_items', 'item_id', 60)}) e USING (g)",
+    "p8_items": f"""SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc_id FROM
+        (SELECT DISTINCT doc_id, item_id FROM ({_runs("documents", "doc_id", 60)}) d JOIN ({_runs("eval_items", "item_id", 60)}) e USING (g)) GROUP BY item_id""",
+    "p10_found": f"""WITH r AS (SELECT doc_id, t, i FROM ({_runs("documents", "doc_id", 20)}) QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY i) > 1),
+        s AS (SELECT doc_id, length(t) AS n, least(20, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 20)) AS c FROM r)
+        SELECT doc_id FROM s GROUP BY doc_id HAVING sum(c) / max(n) >= 0.3""",
 }
