@@ -74,27 +74,43 @@ _TEASER = regex.compile(r"(?:…|\.\.\.|\[…\]|\[\.\.\.\])\s*$")
 _SENTENCE = regex.compile(r"[.!?。！？()]\s*$|^\s*[-*•#\d]|[;；:：=<>{}]|0x")
 
 
+#: Entries that a list of other pages has at most.
+MOST_ENTRIES = 5
+
+
+def _is_title(s: str) -> bool:
+    return len(s) <= 70 and not (_SENTENCE.search(s) or _TEASER.search(s) or _is_frame(s) or _HEADING.fullmatch(s))
+
+
+def _is_frame(s: str) -> bool:
+    return bool(_NOTICES.search(s) or _MENU.fullmatch(s) or _CRUMBS.fullmatch(s))
+
+
 def label_lines(lines: list[str]) -> list[int]:
-    """1 for lines of the page frame, 0 for the body, by fixed wordings and list headings. Blank lines get 0."""
-    out, in_list, room = [], False, 0
-    for line in lines:
-        s = line.strip()
-        if not s:
-            out.append(0)
-            continue
-        frame = _NOTICES.search(s) or _MENU.fullmatch(s) or _CRUMBS.fullmatch(s)
-        if _HEADING.fullmatch(s):
-            out.append(1)
-            in_list, room = True, 12
-        elif frame:
-            out.append(1)
-            in_list = False
-        elif in_list and room and (_TEASER.search(s) or len(s) <= 70 and not _SENTENCE.search(s)):
-            out.append(1)
-            room -= 1
+    """1 for lines of the page frame, 0 for the body, by fixed wordings and list headings. Blank lines get 0.
+
+    A list is titles alone or titles with a teaser each; a title without a teaser that follows a
+    list with teasers is a heading of the body.
+    """
+    at = [i for i, line in enumerate(lines) if line.strip()]
+    text = [lines[i].strip() for i in at]
+    out = [0] * len(lines)
+    k = 0
+    while k < len(at):
+        if _HEADING.fullmatch(text[k]):
+            out[at[k]] = 1
+            k += 1
+            width = 2 if k + 1 < len(at) and _is_title(text[k]) and _TEASER.search(text[k + 1]) else 1
+            for _ in range(MOST_ENTRIES):
+                entry = text[k : k + width]
+                if len(entry) < width or not _is_title(entry[0]) or width == 2 and not _TEASER.search(entry[1]):
+                    break
+                for j in range(k, k + width):
+                    out[at[j]] = 1
+                k += width
         else:
-            out.append(0)
-            in_list = False
+            out[at[k]] = int(_is_frame(text[k]))
+            k += 1
     return out
 
 

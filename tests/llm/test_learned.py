@@ -113,4 +113,4 @@ def test_labeller(spark):
 
 def test_label_function():
     lines = ["Home > Docs > A page", "Text of the body, which goes on.", "Popular this week", "Early lock notes", "At half rate, it waits for the […]", "Text again: a sentence."]
-    assert bp.label_lines(lines) == [1, 0, 1, 1, 1, 0]
+    assert bp.label_lines([*lines[:5], "", "A heading", lines[5]]) == [1, 0, 1, 1, 1, 0, 0, 0]
