@@ -110,7 +110,8 @@ def queue(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed:
     rows = docs.select("doc_id", "source", "text").join(t.select("source"), "source", "left_semi")
     sized = materialise(token_counts(rows, ["doc_id", "source"], tokenizer=tokenizer).where("n_tokens > 0"), "mix-tokens")
     present = t.join(sized.select("source").distinct(), "source", "left_semi")
-    scaled = present.crossJoin(present.agg(F.sum("weight").alias("_all"))).select("source", (F.col("weight") / F.col("_all")).alias("weight"), "repeats")
+    whole = present.agg(F.sum("weight")).first()[0] or 1.0
+    scaled = present.select("source", (F.col("weight") / whole).alias("weight"), "repeats")
     copies = sized.join(scaled, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("repeats") - 1))).drop("repeats")
     copies = copies.withColumn("_h", F.xxhash64("doc_id", "repeat_no", F.lit(seed)))
     done = running_sum(copies, ["source", "repeat_no", "_h", "doc_id"], "n_tokens", "_sum", "source")
@@ -133,16 +134,15 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, toke
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target source: its target weight, documents, tokens, largest repeat and actual share of the mixture."""
     per = mixed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), (F.max("repeat_no") + 1).alias("repeats_used"))
-    total = per.agg(F.sum("n_tokens").alias("_total"))
+    total = mixed.agg(F.sum("n_tokens")).first()[0] or 1
     t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     zero = F.lit(0).cast("bigint")
-    # `total` is one row
-    return t.join(per, "source", "left").crossJoin(F.broadcast(total)).select(
+    return t.join(per, "source", "left").select(
         "source",
         "target_weight",
         "max_repeats",
         F.coalesce("n_docs", zero).alias("n_docs"),
         F.coalesce("n_tokens", zero).alias("n_tokens"),
         F.coalesce("repeats_used", zero).alias("repeats_used"),
-        F.coalesce(F.col("n_tokens") / F.col("_total"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.col("n_tokens") / total, F.lit(0.0)).alias("actual_share"),
     )

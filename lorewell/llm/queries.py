@@ -109,9 +109,11 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
+    from .common import materialise
 
     targets = _t(spark, sf_dir, "mix_targets")
-    return mixing.shares(mixing.mixture(_t(spark, sf_dir, "documents"), targets), targets)
+    mixed = materialise(mixing.mixture(_t(spark, sf_dir, "documents"), targets), "mixture")
+    return mixing.shares(mixed, targets)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
