@@ -26,10 +26,9 @@ def keywords_tfidf(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFram
     tf = words.groupBy(key, "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     n = tf.groupBy(key).agg(F.sum("tf").alias("n"))
-    total = docs.agg(F.count("*").alias("total"))
-    # `total` is one row
-    weight = F.round(F.col("tf") / F.col("n") * F.log(F.col("total") / F.col("df")), 6)
-    scored = tf.join(df, "word").join(n, key).join(F.broadcast(total)).select(key, "word", weight.alias("weight"))
+    total = docs.count()
+    weight = F.round(F.col("tf") / F.col("n") * F.log(F.lit(total) / F.col("df")), 6)
+    scored = tf.join(df, "word").join(n, key).select(key, "word", weight.alias("weight"))
     return best(scored, [key], [F.desc("weight"), F.asc("word")], k)
 
 

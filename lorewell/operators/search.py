@@ -162,8 +162,7 @@ def search_cells(queries: DataFrame, corpus: DataFrame, k: int, q_key: str = "qi
 
 def pad_hits(hits: DataFrame, corpus: DataFrame, k: int, key: str = "pos") -> DataFrame:
     """Hits of every query filled up to k with the corpus's last row, as an index does that returns -1 beyond its size."""
-    last = corpus.agg(F.max(key).alias("last"))
+    last = corpus.agg(F.max(key)).first()[0]
     have = hits.groupBy("qid").agg(F.count("*").cast("int").alias("n"))
-    # one row
-    fill = have.where(F.col("n") < k).join(F.broadcast(last)).select("qid", F.col("last").cast("bigint").alias("pos"), F.lit(None).cast("double").alias("score"), F.explode(F.sequence(F.col("n") + 1, F.lit(k))).alias("rk"))
+    fill = have.where(F.col("n") < k).select("qid", F.lit(last).cast("bigint").alias("pos"), F.lit(None).cast("double").alias("score"), F.explode(F.sequence(F.col("n") + 1, F.lit(k))).alias("rk"))
     return hits.select("qid", "pos", "score", "rk").unionByName(fill)
