@@ -130,9 +130,12 @@ class Labeller:
             dx += d if way == "f" else _flip(d, b.lengths)
         counts = np.diff(np.append(b.starts, len(b.ids)))
         line = dx[:, :, : self.width][mask] / np.sqrt(np.maximum(counts, 1))[:, None]
-        ge = np.zeros_like(self.p["E"])
-        np.add.at(ge, b.ids, np.repeat(line, counts, axis=0))
-        g["E"] = ge
+        g["E"] = ge = np.zeros_like(self.p["E"])
+        if len(b.ids):
+            # ids in order, so that each word's lines are added in one sweep
+            order = np.argsort(b.ids, kind="stable")
+            words, first = np.unique(b.ids[order], return_index=True)
+            ge[words] = np.add.reduceat(line[np.repeat(np.arange(len(counts)), counts)[order]], first, axis=0)
         return loss, g
 
     def fit(self, batches: list[tuple[Batch, np.ndarray, np.ndarray]], epochs: int, rate: float = 0.01) -> list[float]:
