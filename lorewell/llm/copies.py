@@ -1,7 +1,7 @@
 """Problem 3: duplicates hidden by formatting differences, with an incremental ledger of copy counts.
 
 The ledger holds one row a canonical key: (k1, k2, first_pos, n_copies), bucketed and sorted
-by k1 in the shared folder. A new batch is aggregated to its own keys first (map-side combine,
+by key in the shared folder. A new batch is aggregated to its own keys first (map-side combine,
 so a key that holds a third of the rows shuffles one row a task), then full-outer-joined bucket
 by bucket: only the batch's few rows are shuffled, never the ledger. Counts add up, and the
 earliest representative (smallest pos) stays.
@@ -58,7 +58,7 @@ class Ledger:
                 )
             )
         table, path = f"copy_ledger_{uuid.uuid4().hex}", new_path(self.spark, "copy-ledger")
-        out.write.bucketBy(self.buckets, "k1").sortBy("k1", "k2").option("path", path).format("parquet").saveAsTable(table)
+        out.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).format("parquet").saveAsTable(table)
         self.close()
         self.table, self.path = table, path
 

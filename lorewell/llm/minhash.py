@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from . import kernels as K
 
@@ -40,3 +44,27 @@ def min_bits(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """64 one-bit min-hashes of each set in one number: two sets agree in a bit with chance (1 + Jaccard) / 2."""
     bits = signatures(sets, cuts, 64) & np.uint64(1)
     return (bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+#: Bins of the sized bits, and the base of their size classes.
+_BINS, _BASE = 56, 1.05
+
+
+def sized_bits(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """56 one-bit min-hashes of each set and, in the highest byte, its size class: the logarithm of its size to base 1.05."""
+    bits = signatures(sets, cuts, _BINS) & np.uint64(1)
+    size = np.minimum(np.log(np.maximum(np.diff(cuts), 1)) / math.log(_BASE), 255).astype(np.uint64)
+    return (bits << np.arange(_BINS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) | (size << np.uint64(_BINS))
+
+
+def may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two sized bits allow the similarity.
+
+    Sizes may differ by the threshold. Bits differ with chance (1 - threshold) / 2 at the threshold; up to
+    four standard deviations more pass, where a set of n fills about 56 * (1 - exp(-n / 56)) of the bins.
+    """
+    ca, cb = F.shiftrightunsigned(a, _BINS), F.shiftrightunsigned(b, _BINS)
+    apart = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << _BINS) - 1)))
+    p = (1 - threshold) / 2
+    filled = 1 - F.exp(-F.pow(F.lit(_BASE), F.least(ca, cb)) / _BINS)
+    return (F.abs(ca - cb) <= math.ceil(math.log(1 / threshold) / math.log(_BASE)) + 1) & (apart <= _BINS * p + 4 * F.sqrt(_BINS * p * (1 - p) / filled))
