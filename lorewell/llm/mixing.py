@@ -80,9 +80,9 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str, group: st
                 new = np.concatenate(([g[0] != last], g[1:] != g[:-1]))
                 at = np.flatnonzero(new)
                 base = np.zeros(len(v), np.int64)
-                for a, b in zip(at, [*at[1:], len(v)], strict=True):
+                for a, b in zip(at, np.append(at[1:], len(v)), strict=False):
                     base[a:b] = s[a] - v[a]
-                if not new[0]:
+                if not new[0]:  # the batch goes on with the group before
                     base[: at[0] if len(at) else len(v)] = -total
                 s = s - base
                 last, total = g[-1], int(s[-1])

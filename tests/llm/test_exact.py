@@ -313,6 +313,20 @@ def test_mixing(spark):
     assert mixing.mixture(d.limit(0), t).count() == 0 and mixing.mixture(d, t.limit(0)).count() == 0
 
 
+def test_running_sum_over_batches(spark):
+    rows = [("ab"[i > 700], i, i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, i bigint, v bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for group in (None, "g"):
+            order = ["g", "i"] if group else ["i"]
+            out = {r["i"]: r["s"] for r in mixing.running_sum(df, order, "v", "s", group).collect()}
+            for i in (0, 99, 350, 700, 701, 999):
+                assert out[i] == sum(r[2] for r in rows if r[1] <= i and (not group or r[0] == rows[i][0]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @given(st.lists(st.text(alphabet="aÄß9 .时", max_size=60), max_size=6))
 def test_kernels(texts):
     import pyarrow as pa
