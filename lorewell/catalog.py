@@ -171,7 +171,7 @@ def ivf_kmeans(spark: SparkSession, d: str) -> DataFrame:
 def rank_by_score_dedup(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     question = v.orderBy("pos").select("vector").first()[0]
-    scored = v.select("pos", F.round(vx.dot(F.col("vector"), F.array(*map(F.lit, question))), 2).alias("score"))
+    scored = v.select("pos", (F.round(vx.dot(F.col("vector"), F.array(*map(F.lit, question))), 2) + 0.0).alias("score"))
     return merge.collapse_scores(scored, "score", "pos")
 
 
@@ -333,7 +333,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT qid, x.vec_id AS pos, round(list_distance(q.e, x.e) ** 2, 6) AS distance,
             row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(q.e, x.e) ** 2, 6), x.vec_id) AS rk
             FROM q JOIN x ON q.label = x.label QUALIFY rk <= 5""",
-        "rank_by_score_dedup": """SELECT round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 2) AS score, max(c.vec_id) AS pos
+        "rank_by_score_dedup": """SELECT round(list_dot_product(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 2) + 0.0 AS score, max(c.vec_id) AS pos
             FROM embeddings c, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q GROUP BY 1""",
         "page_results": """SELECT url, page_id AS pos, trim(split_part(title, '-', 1)) AS title FROM web_results
             WHERE contains(url, 'http') AND NOT contains(url, 'doc.') QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
