@@ -153,7 +153,7 @@ def found(chunks: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge list (a, b): the smallest node of its component.
 
     Alternating large-star and small-star steps; each round's edges are written to the shared
@@ -173,7 +173,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:  # about log(longest path) rounds
         edges = materialise(star(star(edges, True), False), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
