@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorewell.llm import copies, forest, kernels, knn, leakage, minhash, mixing, neardup, repetition, splitting, trees
 from lorewell.llm.records import letters, record_fields
@@ -251,6 +252,15 @@ def test_repetition(spark):
     assert got(repetition.found(df.limit(0))) == set()
 
 
+def test_rare_repetition(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(30))) for i in range(4000)]
+    sampled = spark.createDataFrame(rows, "doc_id bigint, text string").orderBy(F.xxhash64("doc_id"), "doc_id").limit(repetition.SAMPLE_ROWS)
+    outside = sorted({i for i, _ in rows} - {r["doc_id"] for r in sampled.collect()})[:2]
+    rows = [(i, t + " " + t if i in outside else t) for i, t in rows]  # the only cases, none of them in the sample
+    assert got(repetition.found(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {(i,) for i in outside}
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(0)
     x = rng.random((1500, 3))
