@@ -28,9 +28,6 @@ RUN, SHARE = 20, 0.3
 #: Documents that the trees are fitted on, drawn by a hash of the id.
 SAMPLE_ROWS = 3000
 
-#: Log-odds above which a document is measured exactly. Even odds are 0.
-SCREEN = -6.0
-
 STATISTICS = [
     "log_letters",  # log(1 + letters and digits)
     "runs",  # share of runs of 20 that occurred before
@@ -157,22 +154,20 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Forest:
     return trees.fit(x, (got.column("share").to_numpy() >= SHARE).astype(float), MONOTONE)
 
 
-def measure(docs: DataFrame, forest: trees.Forest | None = None, screen: float = SCREEN) -> DataFrame:
+def measure(docs: DataFrame, forest: trees.Forest | None = None) -> DataFrame:
     """One row per document: doc_id, score (log-odds of the trees), repeated_share.
 
-    repeated_share is exact where the score passes the screen and null elsewhere. Null and empty
-    texts have a share of 0.0 or null, never a case.
+    repeated_share is exact for every text; empty texts have 0.0 and null texts null. The score
+    is an output only.
     """
     held = docs.sparkSession.sparkContext.broadcast(forest or fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x, codes, off = statistics(batch.column("text"))
-            score = held.value.score(x)
-            share = np.full(len(score), np.nan)
-            at = np.flatnonzero(score >= screen)
-            share[at] = shares(codes, off, at)
-            yield out_batch({"doc_id": batch.column("doc_id"), "score": pa.array(score), "repeated_share": pa.array(share, from_pandas=True)})
+            text = batch.column("text")
+            x, codes, off = statistics(text)
+            share = pa.array(exact_shares(codes, off, x[:, STATISTICS.index("runs")]), mask=text.is_null().to_numpy(zero_copy_only=False))
+            yield out_batch({"doc_id": batch.column("doc_id"), "score": pa.array(held.value.score(x)), "repeated_share": share})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, repeated_share double")
 

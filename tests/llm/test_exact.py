@@ -261,6 +261,19 @@ def test_rare_repetition(spark):
     assert got(repetition.found(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {(i,) for i in outside}
 
 
+def test_every_share(spark):
+    rng = random.Random(9)
+    rows = [(0, None), (1, ""), (2, "ab"), (3, "。 。")]
+    for i in range(4, 900):
+        t = " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(60))
+        rows.append((i, t + " " + t[: rng.randrange(30, 120)] if i % 4 == 0 else t))
+    out = {r["doc_id"]: r["repeated_share"] for r in repetition.measure(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out.pop(0) is None and len(out) == len(rows) - 1
+    want = {i: brute_share(t) for i, t in rows[1:]}
+    assert sum(0 < s < 0.3 for s in want.values()) > 200
+    assert all(s is not None and abs(s - want[i]) < 1e-9 for i, s in out.items())
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(0)
     x = rng.random((1500, 3))
