@@ -56,10 +56,10 @@ LIST_HEADINGS = [
 _NOTICES = regex.compile(
     r"\bcookies\b|\bcookie policy\b|newsletter|in your inbox|rights reserved|^powered by |registered trademark|\bterms of use\b|log in or create an account|^language:"
     r"|users? online|people found this|^share this|like \(\d+\)|post pin forward|previous \d|older entries|^page \d+ of|your privacy|partners process data"
-    r"|files on your device|^by using this site|^reproduction of any material|^about .*: since \d|^sponsored:|^limited offer|^skip ad|^editors.{1,3}choice"
+    r"|files on your device|^by using this site|information on this (?:web)?site is provided as is|^reproduction of any material|^about .*: since \d|^sponsored:|^limited offer|^skip ad|^editors.{1,3}choice"
     r"|^join \d+|weekly digest|^back to top|^advertisement|^copyright|^©"
     r"|cookie以|订阅我们|输入邮箱|^免责声明|备案号|版权所有|未经许可不得|隐私政策|您的隐私|^分享到|^打印本页|^点赞|^上一页|^第\d+页|^当前在线|^您好，游客|^语言："
-    r"|^本文对\d+人|^扫码关注|^推广：|^跳过广告|^本月推荐|^关于.{1,40}：自\d+年|合作伙伴会处理|^返回顶部|^广告$"
+    r"|^本文对\d+人|^扫码关注|^推广：|^跳过广告|^本月推荐|^关于.{1,40}：自\d+年|合作伙伴会处理|^返回顶部$|^广告$"
     r"|hallo gast|alle rechte vorbehalten|^teilen \||gefällt mir \(|zurück \d|besucher online|^alle angaben|^alle preise|^gesponsert|tragen sie ihre e-mail"
     r"|partner verarbeiten|^über .{1,40}: seit|^sprache:|^seite \d+ von|fanden diese|^nach oben|^anzeige$|agb \||werbung|weiterlesen"
     r"|abonnez-vous|abonnés|^partager|j.aime \(|précédent \d|visiteurs? en ligne|mentions légales|^site réalisé|^offre limitée|sans garantie ;"

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from pathlib import Path
+from urllib.parse import urlsplit
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lorewell.llm import boilerplate as bp
@@ -114,3 +120,29 @@ def test_labeller(spark):
 def test_label_function():
     lines = ["Home > Docs > A page", "Text of the body, which goes on.", "Popular this week", "Early lock notes", "At half rate, it waits for the […]", "Text again: a sentence."]
     assert bp.label_lines([*lines[:5], "", "A heading", lines[5]]) == [1, 0, 1, 1, 1, 0, 0, 0]
+
+
+NOTE = "The information on this website is provided as is, without warranty of any kind; Maker Works is not liable for damage that results from its use, and all product names belong to their owners."
+
+
+def test_label_function_wordings():
+    assert bp.label_lines([NOTE, "返回顶部", "返回顶部状态之前，arb_addr11必须等待90拍。"]) == [1, 1, 0]
+
+
+def test_label_function_against_recurring_lines():
+    """Sound lines that begin or end pages of several hosts are frame; lines that name an identifier are no notices."""
+    at = Path("/root/testdata/sf0.01/web_results.parquet")
+    if not at.exists():
+        pytest.skip("no test data here")
+    hosts, labels = defaultdict(set), defaultdict(set)
+    for r in pq.read_table(at, columns=["url", "text"]).to_pylist():
+        lines = bp.non_blank(r["text"])[1]
+        for i, (line, y) in enumerate(zip(lines, bp.label_lines(lines), strict=True)):
+            s = line.strip()
+            assert not (bp._NOTICES.search(s) and bp._IDENT.search(s)), s
+            if (i < 3 or i >= len(lines) - 3) and s.isascii() and len(s) > 40 and r["url"]:
+                key = re.sub(r"\d+", "0", s)[:40]
+                hosts[key].add(urlsplit(r["url"]).netloc)
+                labels[key].add(y)
+    often = [k for k in hosts if len(hosts[k]) >= 5]
+    assert len(often) >= 3 and [k for k in often if 0 in labels[k]] == []
