@@ -5,8 +5,13 @@ cut j is the strongest boundary among the last `slack` characters before j * ste
 of equals; j * step itself where there is none). Two neighbouring cuts are then at most
 limit - overlap apart, so a piece, which starts `overlap` characters before the previous cut,
 never passes the limit. A worker that sees a range and a halo before it therefore emits the
-pieces that end in its range, and no one ever loads a whole item. For files the ranges are
-bytes: a first pass counts the characters of each range, their prefix sums place every range
+pieces that end in its range, and no one ever loads a whole item.
+
+In tables a window without a boundary is not cut at its end: the cut goes to the boundary nearest
+to it among all within limit - overlap of the previous cut, and lies mid-text only where there is
+none. Such a cut depends on the one before, so the ranges of a row, which lie one after the other
+in one task, hand on their last cut. Files still cut such windows at j * step: their ranges are
+bytes and read in any order: a first pass counts the characters of each range, their prefix sums place every range
 in the file, and the second pass emits.
 """
 
@@ -98,13 +103,42 @@ def pieces_of_range(cps: np.ndarray, base: int, lo: int, hi: int, total: int, li
     return out
 
 
+def cut_after(cut: int, strength: np.ndarray, base: int, total: int, limit: int, overlap: int) -> int | None:
+    """The cut that follows `cut` (0 at the start), None where the rest is the last piece.
+
+    strength[i] belongs to the item's character base + i, and reaches to cut + limit - overlap or the item's end.
+    """
+    step, slack = geometry(limit, overlap)
+    end = -(-(cut + slack) // step) * step
+    if end >= total:
+        return None
+    window = strength[end - slack - base : end - base][::-1]  # latest first
+    best = int(window.argmax())
+    if window[best] > 0:
+        return end - best
+    if total - cut <= limit - overlap:
+        return None
+    ahead = np.flatnonzero(strength[cut - base : cut - base + limit - overlap] > 0) + cut + 1
+    if len(ahead):
+        return int(ahead[np.abs(ahead - end).argmin()])
+    return end if window[0] == 0 else end - best
+
+
+def pieces_in_order(cps: np.ndarray, base: int, hi: int, total: int, limit: int, overlap: int, no: int, cut: int) -> tuple[list[tuple[int, int, int]], int, int]:
+    """The pieces from piece `no`, which follows `cut`, on whose ends the characters before hi decide; and the number and cut to go on with."""
+    strength, out = boundary_strength(cps), []
+    while cut < total and (hi >= total or cut + limit - overlap <= hi):
+        end = cut_after(cut, strength, base, total, limit, overlap) or total
+        out.append((no, max(cut - overlap, 0), end))
+        no, cut = no + 1, end
+    return out, no, cut
+
+
 def split_table(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Pieces of the rows whose text is longer than the limit: key, piece_no, start, end, piece.
 
     Null texts and texts within the limit give no piece. Offsets and lengths count code points.
     """
-    step, _ = geometry(limit, overlap)
-    range_chars = max(range_chars // step, 1) * step
     back = halo(limit, overlap)
     ranges = (
         df.select(F.col(key).alias("_key"), F.col(text).alias("_t"), F.length(text).cast("long").alias("_n"))
@@ -115,13 +149,16 @@ def split_table(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = cut = 0
         for batch in batches:
             keys, out = batch.column("_key"), {"i": [], "piece_no": [], "start": [], "end": [], "piece": []}
             parts = batch.column("_part").to_pylist()
             for i, (part, n, lo, base) in enumerate(zip(parts, *(batch.column(c).to_pylist() for c in ("_n", "_lo", "_base")), strict=True)):
                 cps = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-                for no, a, b in pieces_of_range(cps, base, lo, min(lo + range_chars, n), n, limit, overlap):
-                    for c, v in zip(out, (i, no, a, b, part[a - base : b - base]), strict=True):
+                # the ranges of a row follow one another, over batches too
+                pieces, no, cut = pieces_in_order(cps, base, min(lo + range_chars, n), n, limit, overlap, no if lo else 0, cut if lo else 0)
+                for k, a, b in pieces:
+                    for c, v in zip(out, (i, k, a, b, part[a - base : b - base]), strict=True):
                         out[c].append(v)
             at = pa.array(out.pop("i"), pa.int64())
             yield out_batch({key: keys.take(at), "piece_no": pa.array(out["piece_no"], pa.int64()), "start": pa.array(out["start"], pa.int64()), "end": pa.array(out["end"], pa.int64()), "piece": pa.array(out["piece"], pa.string())})

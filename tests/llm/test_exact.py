@@ -202,6 +202,33 @@ def test_split_table_and_files(spark, tmp_path):
     assert not [r for r in got_ if r["path"].endswith("c.txt")]
 
 
+def test_rare_boundaries(spark):
+    rng = random.Random(5)
+    texts = ["x" * 1620 + " " + "y" * 15 + " " + "z" * 1115, "x" * 7000, "a" * 1900 + " " + "b" * 1900 + " " + "c" * 1900 + " " + "d" * 500]
+    texts += ["".join(rng.choice("xyz") * rng.randrange(1, 2600) + rng.choice([" ", "。", ", ", "\n"]) for _ in range(60)) for _ in range(6)]
+    texts += ["word and. " * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "pos bigint, chunk string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = {w: sorted(map(tuple, splitting.split_table(df, "pos", "chunk", range_chars=w).collect())) for w in (1 << 18, 2640, 1000)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out[1 << 18] == out[2640] == out[1000]
+    hard = 0
+    for i, text in enumerate(texts):
+        pieces = [r[1:] for r in out[1 << 18] if r[0] == i]
+        strength = splitting.boundary_strength(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        assert [p[0] for p in pieces] == list(range(len(pieces))) and pieces[-1][2] == len(text)
+        end = 0
+        for _, a, b, piece in pieces:
+            assert a == max(end - 20, 0) and end < b and piece == text[a:b] and len(piece) <= 2000
+            if b < len(text) and strength[b - 1] <= 0:
+                assert not (strength[end : end + 1980] > 0).any()  # mid-text only where nothing else is within the limit
+                hard += 1
+            end = b
+    assert hard and [r[2:4] for r in out[1 << 18] if r[0] == 0] == [(0, 1621), (1601, len(texts[0]))]
+
+
 def brute_leak(doc, item):
     a, b = letters(doc or ""), letters(item or "")
     grams = {b[i : i + 60] for i in range(len(b) - 59)}
