@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorewell.config import Settings
 
 from .merge import keep_first
-from .prompts import contexts
+from .prompts import contexts, reasoning_trace
 
 
 class Reasoner(Protocol):
@@ -85,17 +85,24 @@ def multihop(questions: DataFrame, search: SearchFn, reasoner: Reasoner, setting
     return first.select("qid", "item", F.col("o.hop").alias("hop"), F.col("o.fid").alias("fid"), F.col("o.rk").alias("rk"))
 
 
-def synthesis_prompt(question: DataFrame, hits: DataFrame, table_format: bool = False) -> DataFrame:
-    """(qid, prompt): the question, the numbered hits and the wish for a table, if any. hits: qid, chunk, rk."""
+def synthesis_prompt(question: DataFrame, hits: DataFrame, table_format: bool = False, steps: DataFrame | None = None) -> DataFrame:
+    """(qid, prompt): the question, the numbered hits, the steps of reasoning and the wish for a table, if any.
+
+    hits: qid, chunk, rk. steps: qid, step, analysis, missing_info ARRAY, follow_up_queries ARRAY.
+    """
     joined = question.join(contexts(hits, ["qid"]), "qid", "left")
     parts = [F.lit("## 原始查询\n"), F.col("question"), F.lit("\n\n## 检索到的信息块\n"), F.coalesce("context", F.lit("未检索到信息。"))]
+    if steps is not None:
+        in_order = F.array_sort(F.collect_list(F.struct("step", "analysis", "missing_info", "follow_up_queries")))
+        joined = joined.join(steps.groupBy("qid").agg(in_order.alias("_steps")), "qid", "left")
+        parts += [F.lit("\n\n## 推理过程\n"), reasoning_trace(F.col("_steps"))]
     if table_format:
         parts.append(F.lit("\n\n请尽可能以Markdown表格格式组织你的回答。"))
     return joined.select("qid", F.concat(*parts).alias("prompt"))
 
 
-def answer(question: DataFrame, hits: DataFrame, generator: Generator, table_format: bool = False) -> DataFrame:
+def answer(question: DataFrame, hits: DataFrame, generator: Generator, table_format: bool = False, steps: DataFrame | None = None) -> DataFrame:
     """(qid, answer); a question without hits gets a fixed text."""
     have = hits.select("qid").distinct().withColumn("_has", F.lit(True))
-    made = generator.generate(synthesis_prompt(question, hits, table_format)).join(have, "qid", "left")
+    made = generator.generate(synthesis_prompt(question, hits, table_format, steps)).join(have, "qid", "left")
     return made.select("qid", F.when(F.col("_has"), F.col("answer")).otherwise(F.lit("未找到相关信息。")).alias("answer"))

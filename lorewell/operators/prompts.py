@@ -61,3 +61,59 @@ def enhanced_question(question: Column, history: Column) -> Column:
 def route(has_web: Column, has_local: Column) -> Column:
     """Which answer to give: both merged, one of them, or none."""
     return F.when(has_web & has_local, "merge").when(has_local, "local").when(has_web, "web").otherwise("none")
+
+
+def _some(text: Column) -> Column:
+    return F.coalesce(F.length(text), F.lit(0)) > 0
+
+
+def reasoning_trace(steps: Column) -> Column:
+    """The steps of reasoning as text. steps: ARRAY<STRUCT<analysis, missing_info ARRAY, follow_up_queries ARRAY, ...>> in order; null and empty give ""."""
+    listed = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
+    line = lambda s, i: F.concat(
+        F.lit("\n\n推理步骤 "), (i + 1).cast("string"), F.lit(":\n分析: "), F.coalesce(s["analysis"], F.lit("")), F.lit("\n缺失信息: "), listed(s["missing_info"]), F.lit("\n后续查询: "), listed(s["follow_up_queries"])
+    )
+    return F.coalesce(F.array_join(F.transform(steps, line), ""), F.lit(""))
+
+
+_REASONING_TASK = """
+
+## 你的任务
+1. 分析已检索到的信息与原始查询的关系
+2. 确定能够更完整回答查询的特定缺失信息
+3. 提出1-3个针对性的后续查询，以检索缺失信息
+4. 确定当前信息是否足够回答原始查询
+
+以JSON格式回答，包含以下字段:
+- analysis: 对当前信息的详细分析
+- missing_info: 特定缺失信息的列表
+- follow_up_queries: 1-3个具体的后续查询
+- is_sufficient: 表示信息是否足够的布尔值
+
+⚠️ **重要逻辑规则（必须严格遵守）**：
+1. **如果你在 "missing_info" 字段中列出了任何内容，那么 "is_sufficient" 必须为 false！**
+2. 只有当你完全确定当前检索到的 Chunk 已经包含了用户问题所需的所有细节（无需任何额外查询）时，"is_sufficient" 才能为 true。
+3. 如果代码被截断（Chunking）导致关键部分（如行号、中间逻辑）丢失，必须标记为不完整。"""
+
+
+def reasoning_prompt(question: Column, previous: Column, context: Column, hop: Column) -> Column:
+    """What a reasoner is asked after a hop. previous: ARRAY of earlier queries; context: the hop's numbered hits."""
+    asked = F.array_join(F.transform(previous, lambda q, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), F.coalesce(q, F.lit("")))), "\n")
+    return F.concat(
+        F.lit("## 原始查询\n"), question, F.lit("\n\n## 先前查询（如果有）\n"), F.when(_some(asked), asked).otherwise("无"),
+        F.lit("\n\n## 检索到的信息（跳数 "), hop.cast("string"), F.lit("）\n"), F.when(_some(context), context).otherwise("未检索到信息。"), F.lit(_REASONING_TASK),
+    )
+
+
+def parallel_prompt(question: Column, web: Column, local: Column, table_format: bool = False) -> Column:
+    """The prompt that merges web background and local answer, or asks with the web background alone; null where no answer has to be written."""
+    table = "请尽可能以Markdown表格的形式呈现结构化信息。\n\n" if table_format else ""
+    merge = F.concat(F.lit("问题："), question, F.lit("\n\n网络搜索结果："), web, F.lit("\n\n本地知识库分析："), local, F.lit(f"\n\n{table}请根据以上信息，提供一个综合的回答。"))
+    alone = F.concat(F.lit("问题："), question, F.lit("\n\n[联网搜索结果]："), web, F.lit(f"\n\n{table}".rstrip()))
+    kind = route(_some(web), _some(local))
+    return F.when(kind == "merge", merge).when(kind == "web", alone)
+
+
+def parallel_answer(written: Column, local: Column) -> Column:
+    """The answer written to `parallel_prompt`, else the local one, else a fixed text."""
+    return F.when(_some(written), written).when(_some(local), local).otherwise("未找到相关信息。")

@@ -162,3 +162,21 @@ def test_knowledge_base_and_stream(spark, tmp_path):
     assert kb.chunks("my_kb").count() == n
     kb.drop("my_kb")
     assert kb.list() == ["default"]
+
+
+def test_reasoning_and_parallel_prompts(spark):
+    asked = spark.createDataFrame([(1, "why"), (2, "how")], "qid bigint, question string")
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "qid bigint, chunk string, rk int")
+    steps = spark.createDataFrame(
+        [(1, 1, "second", None, []), (1, 0, "first", ["m", "n"], ["q1", "q2"])], "qid bigint, step int, analysis string, missing_info array<string>, follow_up_queries array<string>"
+    )
+    out = {r["qid"]: r["prompt"] for r in multihop.synthesis_prompt(asked, hits, True, steps).collect()}
+    trace = "\n\n推理步骤 1:\n分析: first\n缺失信息: m, n\n后续查询: q1, q2\n\n推理步骤 2:\n分析: second\n缺失信息: \n后续查询: "
+    assert f"[Chunk 2]: b\n\n## 推理过程\n{trace}\n\n请尽可能" in out[1] and "推理步骤" not in out[2]
+    df = spark.createDataFrame([(["a", "b"], "ctx", "w", "l"), ([], "", "w", ""), (None, None, None, "l"), (None, None, "", None)], "p array<string>, c string, w string, l string")
+    cols = [prompts.reasoning_prompt(F.lit("why"), F.col("p"), F.col("c"), F.lit(1)).alias("r"), prompts.parallel_prompt(F.lit("why"), F.col("w"), F.col("l")).alias("m"), prompts.parallel_answer(F.lit(None).cast("string"), F.col("l")).alias("a")]
+    rows = df.select(*cols).collect()
+    assert "先前查询（如果有）\nQ1: a\nQ2: b\n" in rows[0]["r"] and "（跳数 1）\nctx\n" in rows[0]["r"] and "is_sufficient" in rows[0]["r"]
+    assert all("（如果有）\n无\n" in r["r"] and "未检索到信息。" in r["r"] for r in rows[1:])
+    assert rows[0]["m"].startswith("问题：why\n\n网络搜索结果：w\n\n本地知识库分析：l") and rows[1]["m"].endswith("[联网搜索结果]：w") and rows[2]["m"] is None and rows[3]["m"] is None
+    assert [r["a"] for r in rows] == ["l", "未找到相关信息。", "l", "未找到相关信息。"]
