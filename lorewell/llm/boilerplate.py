@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import mojibake
-from .common import out_batch, slices
+from .common import hashed_sample, out_batch, slices
 from .lstm import Batch, Labeller
 
 #: Pages that the labeller is trained on, drawn by a hash of the id.
@@ -227,7 +227,7 @@ def training_pages(texts: list[str], seed: int = 23) -> tuple[list[list[str]], l
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, epochs: int = EPOCHS) -> Labeller:
-    sample = pages.select("page_id", "text").where(F.length("text") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).toArrow()
+    sample = hashed_sample(pages.select("page_id", "text").where(F.length("text") > 0), "page_id", sample_pages).toArrow()
     model = Labeller(WORDS, WIDTH, SHAPE, HIDDEN)
     model.fit(_batches(*training_pages(sample.column("text").to_pylist())), epochs)
     return model

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Resolution of the hash range that a sample is drawn from.
+_RANGE = 1 << 40
+
+
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Up to `rows` rows, those with the smallest hashes of a unique key.
+
+    A hash range that about 1.2 * rows of the table fall into is filtered first, so that what is
+    sorted does not grow with the table or with the number of its splits. Fewer than `rows` come
+    out of smaller tables only, or where keys repeat.
+    """
+    share = (1.2 * rows + 8 * rows**0.5 + 8) / max(df.count(), 1)
+    near = df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(_RANGE)) < int(share * _RANGE))
+    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(_RANGE)), key).limit(rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about `chars` bytes of the text column (at least one row).
 

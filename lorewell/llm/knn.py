@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, out_batch
+from .common import hashed_sample, materialise, out_batch
 
 WIDTH, NEIGHBOURS = 64, 5
 
@@ -113,7 +113,7 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, sample_rows: int = SAMPL
     spark = vectors.sparkSession
     base = materialise(usable(vectors), "knn-base")
     rows = base.count()
-    sample = base.orderBy(F.xxhash64("no"), "no").limit(sample_rows).select("v").toArrow().column("v")
+    sample = hashed_sample(base, "no", sample_rows).select("v").toArrow().column("v")
     x = np.concatenate([_unit(_floats(c)) for c in sample.chunks if len(c)]) if len(sample) else np.zeros((0, WIDTH))
     bits = substring_bits(rows)
     model = spark.sparkContext.broadcast((*fit_rotations(x, bits * SUBSTRINGS), bits))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import trees
-from .common import out_batch, slices
+from .common import hashed_sample, out_batch, slices
 
 RUN, SHARE = 20, 0.3
 
@@ -141,7 +141,7 @@ def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Forest:
     """Trees for "repeats at least 30 % of its positions", from up to sample_rows documents."""
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = hashed_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

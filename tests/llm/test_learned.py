@@ -13,6 +13,7 @@ import pytest
 
 from lorewell.llm import boilerplate as bp
 from lorewell.llm import mojibake as mo
+from lorewell.llm.common import hashed_sample
 from lorewell.llm.lstm import Labeller
 
 SOUND = "Überlauf Zähler für Größe décalage mémoire arrêt réglé naïve 时钟信号在复位之后有效 读指针与写指针 “quoted” 5 µs ±3 °C ½ Émetteur déjà prêt après Prüfung höchstens schließt 寄存器映射表说明".split()
@@ -61,6 +62,33 @@ def test_repair(spark):
     assert mo.found(df.limit(0)).count() == 0
 
 
+def test_found_fields_do_not_depend_on_the_draw():
+    """Ten draws of the sample report the same fields, up to 2 %, and leave sound words alone."""
+    at = Path("/root/testdata/sf0.1/web_results.parquet")
+    if not at.exists():
+        pytest.skip("no test data here")
+    rows = pq.read_table(at, columns=["text", "title"]).to_pylist()
+    tokens = defaultdict(set)
+    for i, r in enumerate(rows):
+        for f in ("text", "title"):
+            for t in mo.tokens_of(r[f]):
+                tokens[t].add((i, f))
+    counts = []
+    for draw in range(10):
+        rng = np.random.default_rng(draw)
+        part = rng.choice(len(rows), 1500, replace=False)
+        bad = mo.judge(list(tokens), mo.train([t for i in part for f in ("text", "title") for t in mo.tokens_of(rows[i][f])]))
+        assert not {"öffnet", "öffnet.", "à", "für", "é,"} & set(bad)
+        counts.append(len(set().union(*(tokens[t] for t in bad))))
+    assert max(counts) - min(counts) <= 0.02 * max(counts), counts
+
+
+def test_hashed_sample(spark):
+    df = spark.range(5000).selectExpr("id", "id AS x")
+    got = hashed_sample(df, "id", 300).collect()
+    assert len({r["id"] for r in got}) == 300 and hashed_sample(df.limit(7), "id", 300).count() == 7 and hashed_sample(df.limit(0), "id", 3).count() == 0
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = Labeller(50, 4, bp.SHAPE, 3)
