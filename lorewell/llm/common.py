@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,16 +43,23 @@ def remove(spark: SparkSession, path: str) -> None:
 _RANGE = 1 << 40
 
 
-def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+def hashed_sample(df: DataFrame, key: str, rows: int, group: Column | None = None) -> DataFrame:
     """Up to `rows` rows, those with the smallest hashes of a unique key.
 
     A hash range that about 1.2 * rows of the table fall into is filtered first, so that what is
-    sorted does not grow with the table or with the number of its splits. Fewer than `rows` come
-    out of smaller tables only, or where keys repeat.
+    sorted does not grow with the table or with the number of its splits. With a group, the range is
+    one of groups and one of keys, so that several rows of a group are drawn together, and no group
+    gives more than its share. Fewer than `rows` come out of smaller tables, or by chance.
     """
     share = (1.2 * rows + 8 * rows**0.5 + 8) / max(df.count(), 1)
-    near = df if share >= 1 else df.where(F.pmod(F.xxhash64(key), F.lit(_RANGE)) < int(share * _RANGE))
-    return near.orderBy(F.pmod(F.xxhash64(key), F.lit(_RANGE)), key).limit(rows)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(_RANGE))
+    near = df
+    if share < 1 and group is None:
+        near = df.where(at(F.col(key)) < int(share * _RANGE))
+    elif share < 1:
+        side = int(share**0.5 * _RANGE)
+        near = df.where((at(F.col(key)) < side) & (at(F.coalesce(group, F.col(key).cast("string"))) < side))
+    return near.orderBy(at(F.col(key)), key).limit(rows)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
