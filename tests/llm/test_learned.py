@@ -165,7 +165,7 @@ NOTE = "The information on this website is provided as is, without warranty of a
 
 def test_labels_by_recurrence():
     rng = np.random.default_rng(2)
-    text = lambda: f"The counter s_{rng.integers(10**6)} waits {rng.integers(99)} cycles before it starts again."
+    text = lambda: f"The {' '.join(rng.choice(SOUND, 5))} of s_{rng.integers(10**6)} waits {rng.integers(99)} cycles."
     name = lambda: f"{SOUND[rng.integers(len(SOUND))]} and {SOUND[rng.integers(len(SOUND))]} {chr(97 + rng.integers(26))}{chr(97 + rng.integers(26))}{chr(97 + rng.integers(26))} notes"
     pages, labels = [], []
     for i in range(60):
@@ -173,7 +173,7 @@ def test_labels_by_recurrence():
         code = [(f"module m_{i} (", 0), ("input clk, input rst,", 0), (f"output q_{i});", 0)]
         ad = [("Advertisement", 1), (f"Like ({rng.integers(99)}) Share", 1)] if i % 3 == 0 else []
         other = [("Recent posts", 1), (name(), 1), (name(), 1), (name(), 1)] if i % 4 == 0 else []
-        lines = [*top, (name(), 0), (text(), 0), *code, *(((text(), 0),) * (i % 2)), *ad, (text(), 0), *other, (NOTE, 1), (f"Page {i} of 70", 1)]
+        lines = [*top, (name(), 0), (text(), 0), *code, (text(), 0), *ad, (text(), 0), *other, (NOTE, 1), (f"Page {i} of 70", 1)]
         pages.append([x for x, _ in lines])
         labels.append([y for _, y in lines])
     got = [(a, b) for y, z in zip(frames.label_pages(pages), labels, strict=True) for a, b in zip(y, z, strict=True)]
