@@ -1,12 +1,12 @@
 """Problem 10: share of repeated content within each document.
 
-The cases are the definition's: every document in which any run of 20 began before is measured
-exactly, and all others repeat nothing. No model has a say in what is found.
-
-Each document can also be given statistics of its repetition (STATISTICS below), each over the
-whole text. Boosted trees, fitted in the run on a bounded sample of documents labelled by the
-exact definition and constrained to rise with every repetition statistic, score them from flat
-node arrays, all rows of a batch at a time.
+Each document gets statistics of its repetition (STATISTICS below), each over the whole text.
+Boosted trees, fitted in the run on a bounded sample of documents labelled by the exact
+definition and constrained to rise with every repetition statistic, score them from flat node
+arrays, all rows of a batch at a time. One of the statistics, "most", is an upper bound of the
+share. So the constraint gives a score below which no case can lie, whatever the trees learned:
+the least score of any document whose upper bound reaches SHARE (`least_score`). Documents at
+or above it are measured exactly; the others are proven to be no cases.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ STATISTICS = [
     "sentences",  # share of letters in sentences that occurred before
     "most_frequent",  # share of the anchors held by the most frequent one
     "letters_kinds",  # distinct letters / letters
+    "most",  # upper bound of the share: every run that occurred before repeats at most RUN positions
 ]
-MONOTONE = {STATISTICS.index(s): 1 for s in ("runs", "anchored_short", "lines", "sentences", "most_frequent")}
+MONOTONE = {STATISTICS.index(s): 1 for s in ("runs", "anchored_short", "lines", "sentences", "most_frequent", "most")}
+FREE = [f for f in range(len(STATISTICS)) if f not in MONOTONE]
 
 
 def repeated_share(codes: np.ndarray, run: int = RUN) -> float:
@@ -125,6 +127,7 @@ def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.zeros((rows, len(STATISTICS)))
     out[:, 0] = np.log1p(n)
     out[:, 1] = run_share(codes, off)
+    out[:, 7] = np.minimum(out[:, 1] * np.maximum(n - RUN + 1, 0) * RUN / np.maximum(n, 1), 1)
     row, _, h = K.runs(codes, off, RUN // 2)
     anchor = (h & np.uint64(7)) == 0
     again, anchors, most = _repeats(row[anchor], h[anchor], np.ones(int(anchor.sum())), rows)
@@ -151,14 +154,28 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Forest:
 
     got = sample.mapInArrow(run, "x array<double>, share double").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
-    return trees.fit(x, (got.column("share").to_numpy() >= SHARE).astype(float), MONOTONE)
+    return fit_trees(x, got.column("share").to_numpy() >= SHARE)
+
+
+def _at_bound(free: np.ndarray) -> np.ndarray:
+    """Statistics of the least that a case can show, for given values of the free statistics: a case has at least SHARE / RUN of its runs again."""
+    x = np.zeros((len(free), len(STATISTICS)))
+    x[:, FREE] = free
+    x[:, STATISTICS.index("most")] = SHARE - 1e-9
+    x[:, STATISTICS.index("runs")] = SHARE / RUN - 1e-9
+    return x
+
+
+def fit_trees(x: np.ndarray, case: np.ndarray) -> trees.Forest:
+    """Trees over statistics. A fifth of the rows are added once more, moved to the least that a case can show and called cases, so that the score below which none can lie is high enough to rule documents out."""
+    bound = _at_bound(x[::5][:, FREE])
+    return trees.fit(np.concatenate((x, bound)), np.concatenate((case, np.ones(len(bound)))).astype(float), MONOTONE)
 
 
 def measure(docs: DataFrame, forest: trees.Forest | None = None) -> DataFrame:
     """One row per document: doc_id, score (log-odds of the trees), repeated_share.
 
-    repeated_share is exact for every text; empty texts have 0.0 and null texts null. The score
-    is an output only.
+    repeated_share is exact for every text, whatever its score; empty texts have 0.0 and null texts null.
     """
     held = docs.sparkSession.sparkContext.broadcast(forest or fit(docs))
 
@@ -172,13 +189,27 @@ def measure(docs: DataFrame, forest: trees.Forest | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, repeated_share double")
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id) of documents with at least 30 % repeated positions."""
+def least_score(forest: trees.Forest) -> float:
+    """The least score of any document that can be a case: constrained statistics at the least that a case can show, the free ones at their worst."""
+    # one value on either side of every threshold
+    values = [np.append(np.unique(forest.threshold[forest.feature == f]), np.inf) for f in FREE]
+    grid = np.stack([v.reshape(-1) for v in np.meshgrid(*values, indexing="ij")], axis=1)
+    return float(forest.score(_at_bound(grid)).min()) - 1e-9
+
+
+def found(docs: DataFrame, forest: trees.Forest | None = None) -> DataFrame:
+    """(doc_id) of documents with at least 30 % repeated positions: scored by the trees, then measured exactly.
+
+    Null and short texts are no cases.
+    """
+    forest = forest or fit(docs)
+    held = docs.sparkSession.sparkContext.broadcast((forest, least_score(forest)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, least = held.value
         for batch in slices(batches, "text"):
-            codes, off = K.fold(batch.column("text"))
-            share = exact_shares(codes, off, run_share(codes, off))
-            yield out_batch({"doc_id": batch.column("doc_id").filter(pa.array(share >= SHARE))})
+            x, codes, off = statistics(batch.column("text"))
+            at = np.flatnonzero(model.score(x) >= least)
+            yield out_batch({"doc_id": batch.column("doc_id").take(pa.array(at[shares(codes, off, at) >= SHARE]))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint")

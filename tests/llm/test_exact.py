@@ -6,6 +6,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -288,6 +289,25 @@ def test_rare_repetition(spark):
     assert got(repetition.found(spark.createDataFrame(rows, "doc_id bigint, text string"))) == {(i,) for i in outside}
 
 
+def test_no_case_scores_below_the_least(spark):
+    """Whatever the trees learned, a document whose upper bound reaches the share is measured; most others are not."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(1500):
+        t = " ".join(WORDS[k] + str(rng.integers(10**6)) for k in rng.integers(len(WORDS), size=40))
+        texts.append(t + " " + t[: rng.integers(20, len(t))] if i % 5 == 0 else t)
+    x, codes, off = repetition.statistics(pa.array(texts))
+    share = repetition.shares(codes, off, np.arange(len(texts)))
+    most = x[:, repetition.STATISTICS.index("most")]
+    assert (most >= share - 1e-12).all()
+    for labels in ((share >= 0.3).astype(float), (rng.random(len(texts)) < 0.3).astype(float), np.zeros(len(texts))):
+        forest = repetition.fit_trees(x, labels)
+        score, least = forest.score(x), repetition.least_score(forest)
+        assert (score[most >= 0.3] >= least).all()
+    forest = repetition.fit_trees(x, share >= 0.3)
+    assert (forest.score(x) >= repetition.least_score(forest)).mean() < 0.3
+
+
 def test_every_share(spark):
     rng = random.Random(9)
     rows = [(0, None), (1, ""), (2, "ab"), (3, "。 。")]
