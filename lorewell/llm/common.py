@@ -39,6 +39,33 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its old version and change over by renaming."""
+    jvm = spark.sparkContext._jvm
+    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(text.encode())
+    out.close()
+    fs.delete(old, False)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot rename to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file; its new version, if a writer ended between deleting the old one and renaming."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        p = jvm.org.apache.hadoop.fs.Path(path + ".new")
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 #: Resolution of the hash range that a sample is drawn from.
 _RANGE = 1 << 40
 

@@ -144,6 +144,44 @@ def test_forest(chunks, chunk_rows):
     assert got(forest.found(chunks.limit(0))) == set()
 
 
+def test_forest_is_reopened_and_merged(spark, chunks, chunk_rows, tmp_path, monkeypatch):
+    """A later session goes on with the stored forest; merged runs and split prefixes find the same pairs."""
+    rows = forest.marks(chunks)
+    texts = forest.materialise(forest.texts_of(rows), "texts")
+    numbers = sorted(b for (b,) in texts.select("batch_no").distinct().collect())
+    assert len(numbers) > 2
+
+    def pairs(path, reopen):
+        out, f = set(), forest.Forest.create(spark, path, texts.count())
+        for b in numbers:
+            if reopen:
+                f.close()
+                f = forest.Forest.open(spark, path)
+            hits = f.search(texts.where(F.col("batch_no") == b))
+            out |= got(hits.select("pos", "other_pos", "copy")) if hits is not None else set()
+        return out, f
+
+    want, f = pairs(f"file://{tmp_path}/a", False)
+    assert want
+    f.close()
+    again, f = pairs(f"file://{tmp_path}/b", True)
+    assert again == want and f.state["runs"] == len(numbers)
+    monkeypatch.setattr(forest, "MAX_RUNS", 2)
+    monkeypatch.setattr(forest, "HOT_ENTRIES", 1)
+    again, f = pairs(f"file://{tmp_path}/c", True)
+    assert again == want and f.state["files"] <= 2
+    f.drop()
+    with pytest.raises(Exception):
+        forest.Forest.open(spark, f"file://{tmp_path}/c")
+
+
+def test_forest_measures_recall(spark):
+    seen = lambda once, twice, more: spark.createDataFrame([(i, s) for i, s in enumerate([1] * once + [2] * twice + [5] * more)], "pos int, seen int")
+    assert forest.measured_recall(seen(0, 0, 9)) == 1.0
+    assert forest.measured_recall(seen(4, 2, 4)) == pytest.approx(10 / 14)
+    assert forest.measured_recall(seen(0, 0, 0)) == 1.0
+
+
 def test_forest_depth_and_signatures():
     assert forest.stop_depth() == 3
     rng = np.random.default_rng(1)
