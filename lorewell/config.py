@@ -21,6 +21,7 @@ class Settings:
     refined_k: int = 3
     history_turns: int = 3
     background_cap: int = 1500
+    analysis_preview: int = 200
     min_page: int = 15
     min_sentence: int = 20
     top_keywords: int = 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ PROFILES: dict[str, list[str]] = {
     "plain": ["<|endoftext|>", "\n\n", "\n", ";", ""],
     "code": ["endmodule", "\n\n", "\n", ";", ""],
 }
+# The same of the older chunker.
+OLDER_PROFILES: dict[str, list[str]] = {
+    "prose": ["\n\n", "。", "，", "！", "？", "；", "\n", " ", ""],
+    "plain": ["<|endoftext|>", "\n\n", "\n", " ", ""],
+    "code": ["endmodule", "\n\n", "\n", " ", ""],
+}
 EXTENSIONS = {".pdf": "prose", ".txt": "plain", ".v": "code", ".sv": "code"}
 
 
@@ -71,10 +78,10 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
     return [c for c in (text[i * step : i * step + size].strip() for i in range(n)) if c]
 
 
-def split_text(text: str | None, ext: str | None, size: int = 2000, overlap: int = 20, least: int = 20) -> list[str]:
+def split_text(text: str | None, ext: str | None, size: int = 2000, overlap: int = 20, least: int = 20, profiles: dict[str, list[str]] = PROFILES) -> list[str]:
     if not text:
         return []
-    separators = PROFILES[profile_of(ext)]
+    separators = profiles[profile_of(ext)]
     if any(s and s in text for s in separators):
         chunks = split_recursive(text, separators, size, overlap)
     else:
@@ -82,12 +89,12 @@ def split_text(text: str | None, ext: str | None, size: int = 2000, overlap: int
     return [c for c in chunks if len(c) >= least]
 
 
-def semantic_chunks(text: Column, ext: Column, size: int = 2000, overlap: int = 20, least: int = 20) -> Column:
+def semantic_chunks(text: Column, ext: Column, size: int = 2000, overlap: int = 20, least: int = 20, profiles: dict[str, list[str]] = PROFILES) -> Column:
     """array<string> of the chunks of a text by the profile of its extension. Null and empty texts give an empty array."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series, exts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t, e, size, overlap, least) for t, e in zip(texts, exts, strict=True)], dtype=object)
+        return pd.Series([split_text(t, e, size, overlap, least, profiles) for t, e in zip(texts, exts, strict=True)], dtype=object)
 
     return run(text, ext)
 
@@ -110,9 +117,9 @@ def chunk_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
 
 def chunk_documents_numbered(docs: DataFrame, size: int = 800, overlap: int = 20, least: int = 20, cap: int = 8000) -> DataFrame:
-    """The older layout: ids `chunk<i>` counted before short chunks are dropped, and hashes of texts cut to `cap`."""
+    """The older layout, with its own separators: ids `chunk<i>` counted before short chunks are dropped, and hashes of texts cut to `cap`."""
     ready = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.col("ext"), clean_text(F.col("text")).alias("text")).where(document_gate(F.col("text")))
-    pieces = ready.select("source", F.posexplode(semantic_chunks(F.col("text"), F.col("ext"), size, overlap, 0)).alias("ordinal", "chunk"))
+    pieces = ready.select("source", F.posexplode(semantic_chunks(F.col("text"), F.col("ext"), size, overlap, 0, OLDER_PROFILES)).alias("ordinal", "chunk"))
     return pieces.where(F.length("chunk") >= least).select(
         "source",
         F.concat(F.lit("chunk"), F.col("ordinal")).alias("number"),
@@ -122,22 +129,29 @@ def chunk_documents_numbered(docs: DataFrame, size: int = 800, overlap: int = 20
     )
 
 
+def _cut_at(text: str, longest: int, mark: str) -> list[str]:
+    """Neighbouring sentences, each with its mark, joined while the last one ends within longest - 1 characters of the first's begin."""
+    marks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == ord(mark))
+    begins, ends = np.append(0, marks + 1), np.append(marks, len(text))
+    # a sentence without a character never begins a new join
+    full = np.flatnonzero(ends > begins)
+    cuts, at = [0], 0
+    while True:
+        too_far = max(int(np.searchsorted(ends, begins[at] + longest - 1, "right")), at + 1)
+        nth = int(np.searchsorted(full, too_far))
+        if nth == len(full):
+            break
+        at = int(full[nth])
+        cuts.append(int(begins[at]))
+    return [text[lo:hi].strip() for lo, hi in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 def segments(text: str, longest: int, separators: str = "\n。") -> list[str]:
     """Sentences packed up to `longest` - 1 characters at the first separator; what is still too long goes on with the next. Separators stay at the end."""
-    text = text.strip()
-    if not separators or len(text) <= longest:
-        return [text]
-    parts = text.split(separators[0])
-    parts = [p + separators[0] for p in parts[:-1]] + parts[-1:]
-    out: list[str] = []
-    held = ""
-    for k, part in enumerate(parts):
-        bare = len(part) - (k + 1 < len(parts))
-        if held and bare and len(held) + bare > longest - 1:
-            out += segments(held, longest, separators[1:])
-            held = ""
-        held += part
-    return out + segments(held, longest, separators[1:]) if held else out
+    done = [text.strip()]
+    for mark in separators:
+        done = [piece for part in done for piece in (_cut_at(part, longest, mark) if len(part) > longest else [part])]
+    return done
 
 
 def segment_column(text: Column, longest: int = 400, separators: str = "\n。") -> Column:

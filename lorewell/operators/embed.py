@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -38,6 +39,67 @@ class HashEmbedder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+class LetterEmbedder:
+    """How often each letter from a to z occurs, case aside: vectors that can be checked by hand and in SQL."""
+
+    width = 26
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.width))
+        for i, t in enumerate(texts):
+            code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            code = np.where((code >= 65) & (code <= 90), code + 32, code)
+            out[i] = np.bincount(code[(code >= 97) & (code <= 122)] - 97, minlength=self.width)
+        return out
+
+
+class ModelEmbedder:
+    """A model of one's own: `load` returns (tokenise, forward) and is called once a worker, at the first batch.
+
+    tokenise: texts -> (ids, mask), padded and cut to one length; forward: (ids, mask) -> token
+    vectors (texts, tokens, width). A text's vector is the mean of its tokens' that the mask sets.
+    """
+
+    def __init__(self, load: Callable[[], tuple[Callable, Callable]], width: int):
+        self.load, self.width, self._parts = load, width, None
+
+    def __getstate__(self) -> dict:
+        return {"load": self.load, "width": self.width, "_parts": None}  # each worker loads its own
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self._parts is None:
+            self._parts = self.load()
+        tokenise, forward = self._parts
+        ids, mask = tokenise(texts)
+        tokens = np.asarray(forward(ids, mask), float)
+        weight = np.asarray(mask, float)[:, :, None]
+        return (tokens * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+
+
+class ApiEmbedder:
+    """A service: `call` sends up to `batch` texts and returns a vector each. A failing batch is tried again, then raises, so that no row is ever skipped."""
+
+    def __init__(self, call: Callable[[list[str]], list[list[float]]], width: int, batch: int = 10, attempts: int = 3, wait: float = 1.0):
+        self.call, self.width, self.batch, self.attempts, self.wait = call, width, batch, attempts, wait
+
+    def _send(self, texts: list[str]) -> np.ndarray:
+        for attempt in range(1, self.attempts + 1):
+            try:
+                got = np.asarray(self.call(texts), float)
+                if got.shape != (len(texts), self.width):
+                    raise ValueError(f"{got.shape} for {len(texts)} texts")
+                return got
+            except Exception:
+                if attempt == self.attempts:
+                    raise
+                time.sleep(self.wait * attempt)
+        raise AssertionError
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        parts = [self._send(texts[lo : lo + self.batch]) for lo in range(0, len(texts), self.batch)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.width))
+
+
 def embed_column(df: DataFrame, text: str, embedder: Embedder, out: str = "vector", cap: int = 8000, batch: int = 64) -> DataFrame:
     """df with `out` ARRAY<FLOAT>: the vector of each text cut to `cap` characters; null for null and empty texts.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.text import preview
 
-from .merge import joined_text
+from .merge import best, joined_text
 
 # How the numbered blocks of each context layout begin, and what follows the heading.
 LAYOUTS: dict[str, tuple[str, str]] = {
@@ -42,6 +42,14 @@ def summary(hits: DataFrame, by: list[str], text: str = "chunk", rank: str = "rk
     return agg.select(*by, F.array_join(F.transform("s", lambda x: x["t"]), "\n\n").alias("summary"), F.greatest(F.col("n_hits") - first, F.lit(0)).cast("bigint").alias("n_more"))
 
 
+def ranked_summary(rows: DataFrame, by: list[str], order: list[Column], text: str, first: int = 10) -> DataFrame:
+    """`summary` of rows without ranks. Only the first rows of a group are ever ranked; the others are counted."""
+    shown = best(rows, by, order, first)
+    blocks = shown.groupBy(*by).agg(joined_text(F.col("rk"), block(F.col("rk"), F.col(text), "display"), "\n\n").alias("summary"))
+    more = rows.groupBy(*by).agg(F.greatest(F.count("*") - first, F.lit(0)).cast("bigint").alias("n_more"))
+    return blocks.join(more, by)
+
+
 def history_prompt(turns: DataFrame, last: int = 3) -> DataFrame:
     """(conv_id, history): the last few question and answer pairs of each conversation, in order.
 
@@ -50,12 +58,17 @@ def history_prompt(turns: DataFrame, last: int = 3) -> DataFrame:
     """
     w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
     kept = turns.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= last)
-    line = F.concat(F.lit("用户: "), F.coalesce("user_text", F.lit("")), F.lit("\n助手: "), F.coalesce("assistant_text", F.lit("")))
-    return kept.groupBy("conv_id").agg(joined_text(F.col("turn"), line, "\n").alias("history"))
+    line = F.concat(F.lit("用户："), F.coalesce("user_text", F.lit("")), F.lit("\n助手："), F.coalesce("assistant_text", F.lit("")), F.lit("\n"))
+    return kept.groupBy("conv_id").agg(joined_text(F.col("turn"), line, "").alias("history"))
+
+
+# The wordings around the history of a conversation.
+WITH_HISTORY, EARLIER, NOW = "基于以下对话历史，回答用户的当前问题。\n", "之前的对话内容：\n", "\n当前问题："
 
 
 def enhanced_question(question: Column, history: Column) -> Column:
-    return F.when(F.coalesce(F.length(history), F.lit(0)) > 0, F.concat(F.lit("对话历史：\n"), history, F.lit("\n\n当前问题："), question)).otherwise(question)
+    """The question with the history of its conversation before it; the bare question without history."""
+    return F.when(_some(history), F.concat(F.lit(WITH_HISTORY + EARLIER), history, F.lit(NOW), question)).otherwise(question)
 
 
 def route(has_web: Column, has_local: Column) -> Column:

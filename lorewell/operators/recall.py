@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorewell.config import Settings
-from lorewell.functions.text import keyword_weight, sentence
+from lorewell.functions.text import sentence
+from lorewell.functions.vector import cosine
 
 from .chunking import segment_column
 from .embed import Embedder, embed_column
-from .merge import best, collapse_scores, joined_text
-from .search import search
+from .merge import best, joined_text
 
 Keywords = list[tuple[str, float]]
 
@@ -22,13 +22,17 @@ def keywords_tfidf(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFram
 
     Words are runs of letters, lower-cased. Ties go by the word. Texts without words give no row.
     """
-    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    tf = words.groupBy(key, "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    n = tf.groupBy(key).agg(F.sum("tf").alias("n"))
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: w != "")
+    # the length of the text travels with its words, so that it needs no join of its own
+    tf = docs.select(key, words.alias("words")).select(key, F.size("words").alias("n"), F.explode("words").alias("word")).groupBy(key, "n", "word").agg(F.count("*").alias("tf"))
     total = docs.count()
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    # a word of more than a thousandth of the texts is common; texts hold a bounded number of distinct words on average, so there are few of them
+    common = df.where(F.col("df") > max(total // 1000, 1000))
     weight = F.round(F.col("tf") / F.col("n") * F.log(F.lit(total) / F.col("df")), 6)
-    scored = tf.join(df, "word").join(n, key).select(key, "word", weight.alias("weight"))
+    held = tf.join(F.broadcast(common), "word", "left")
+    rare = held.where("df IS NULL").drop("df").join(df.where(F.col("df") <= max(total // 1000, 1000)), "word")
+    scored = held.where("df IS NOT NULL").unionByName(rare).select(key, "word", weight.alias("weight"))
     return best(scored, [key], [F.desc("weight"), F.asc("word")], k)
 
 
@@ -81,21 +85,21 @@ def recall_by_keywords(pages: DataFrame, keywords: Keywords, settings: Settings,
     return ranked.agg(joined_text(F.col("rk"), F.col("sentence"), "\n").alias("background"))
 
 
-def _nearest(items: DataFrame, text: str, question: DataFrame, embedder: Embedder, k: int) -> DataFrame:
-    """The k items nearest to the question by cosine; items of equal score collapse into the last."""
-    corpus = embed_column(items, text, embedder)
-    query = embed_column(question, "question", embedder)
-    hits = search(query, corpus, 1 << 30, "cosine", q_key="qid", key="ordinal")
-    kept = collapse_scores(hits, "score", "pos").orderBy(F.desc("score")).limit(k)
-    return kept.withColumnRenamed("pos", "ordinal").join(items, "ordinal")
+def _nearest(items: DataFrame, text: str, question: list[float], embedder: Embedder, k: int, digits: int = 6) -> DataFrame:
+    """The k items nearest to the question by cosine; items of equal score collapse into the last. items: ordinal, and `text`."""
+    asked = F.array(*map(F.lit, question))
+    scored = embed_column(items, text, embedder).where("vector IS NOT NULL").withColumn("score", F.round(cosine(F.col("vector"), asked), digits) + 0.0)
+    last = scored.groupBy("score").agg(F.max_by(text, "ordinal").alias(text), F.max("ordinal").alias("ordinal"))
+    return last.orderBy(F.desc("score")).limit(k)
 
 
 def recall_by_vectors(pages: DataFrame, question: str, embedder: Embedder, settings: Settings) -> DataFrame:
-    """One row, `background`, ranked by the vectors of titles and sentences. For the results of one search (some tens of pages)."""
-    asked = pages.sparkSession.createDataFrame([(0, question)], "qid bigint, question string")
+    """One row, `background`, ranked by the vectors of titles and sentences, for a single question. Blank questions have none."""
+    asked = [float(x) for x in embedder.embed([question])[0]]
     titles = pages.select(F.col("pos").alias("ordinal"), "title").where("title IS NOT NULL")
+    # at most top_titles rows
     chosen = _nearest(titles, "title", asked, embedder, settings.top_titles).select("title").distinct()
     sentences = sentences_of(pages.join(F.broadcast(chosen), "title", "left_semi"), settings)
-    numbered = sentences.withColumn("ordinal", F.row_number().over(W.orderBy("pos", "ordinal")).cast("bigint")).select("ordinal", "sentence")
-    top = _nearest(numbered, "sentence", asked, embedder, settings.top_sentences)
+    placed = sentences.select(F.struct("pos", "ordinal").alias("ordinal"), "sentence")
+    top = _nearest(placed, "sentence", asked, embedder, settings.top_sentences)
     return top.agg(joined_text(-F.col("score"), F.col("sentence"), "\n").alias("background"))

@@ -13,9 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewell.plans.session import cut
+
 from .merge import best
 
 BLOCK = 4096
@@ -23,33 +26,46 @@ BLOCK = 4096
 METRICS = ("ip", "cosine", "l2")
 
 
-def pack(df: DataFrame, key: str, vector: str, width: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(keys BINARY int64, matrix BINARY float64, width): blocks of the rows with a usable vector.
+def pack(df: DataFrame, keys: list[str], vector: str, cell: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(cell, keys BINARY int64, matrix BINARY float64, width): blocks of the rows with a usable vector, of one cell and width each.
 
-    Null and empty vectors are left out, as are those that hold null, NaN or infinite parts, or are
-    not `width` wide where it is given; within a block all are as wide as the block's first.
+    Keys are whole numbers, one or more a row. Null and empty vectors are left out, as are those
+    that hold null, NaN or infinite parts. Without a cell column all rows are of cell 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[int, tuple[list, list]] = {}
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.array(v, np.float64)
-                if np.isfinite(x).all():
-                    ks, vs = groups.setdefault(len(x), ([], []))
-                    ks.append(k)
-                    vs.append(x)
-            for w, (ks, vs) in groups.items():
-                for lo in range(0, len(ks), block):
+            if not batch.num_rows:
+                continue
+            column = batch.column("_vector")
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            width = pa.compute.list_value_length(column).to_numpy()
+            ends = np.cumsum(width)
+            bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))
+            ok = bad[ends] == bad[ends - width]
+            names = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            cells = batch.column("_cell").to_numpy()
+            order = np.lexsort((width, cells))
+            order = order[ok[order]]
+            change = np.flatnonzero((np.diff(cells[order]) != 0) | (np.diff(width[order]) != 0)) + 1
+            for rows in np.split(order, change):
+                for lo in range(0, len(rows), block):
+                    part = rows[lo : lo + block]
+                    w = int(width[part[0]])
+                    matrix = flat[(ends[part] - w)[:, None] + np.arange(w)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([np.array(ks[lo : lo + block], np.int64).tobytes()], pa.binary()), pa.array([np.stack(vs[lo : lo + block]).tobytes()], pa.binary()), pa.array([w], pa.int32())],
-                        names=["keys", "matrix", "width"],
+                        [pa.array([int(cells[part[0]])], pa.int64()), pa.array([names[part].tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([w], pa.int32())],
+                        names=["cell", "keys", "matrix", "width"],
                     )
 
-    ok = F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(vector) > 0)
-    if width is not None:
-        ok &= F.size(vector) == width
-    return df.where(ok).select(F.col(key).cast("bigint"), F.col(vector)).mapInArrow(run, "keys binary, matrix binary, width int")
+    ok = F.col(vector).isNotNull() & (F.size(vector) > 0)
+    for k in keys:
+        ok &= F.col(k).isNotNull()
+    at = F.lit(0) if cell is None else F.col(cell)
+    if cell is not None:
+        ok &= F.col(cell).isNotNull()
+    rows = df.where(ok).select(*(F.col(k).cast("bigint").alias(k) for k in keys), F.col(vector).alias("_vector"), at.cast("bigint").alias("_cell"))
+    return rows.mapInArrow(run, "cell bigint, keys binary, matrix binary, width int")
 
 
 def scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -62,34 +78,66 @@ def scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     return q @ c.T
 
 
-def _best_of_blocks(metric: str, k: int, digits: int):
+def _best_of_blocks(metric: str, k: int, digits: int, q_keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for qk, qm, ck, cm, w in zip(*(batch.column(c).to_pylist() for c in ("q_keys", "q_matrix", "keys", "matrix", "width")), strict=True):
-                q_no, c_no = np.frombuffer(qk, np.int64), np.frombuffer(ck, np.int64)
+                q_no, c_no = np.frombuffer(qk, np.int64).reshape(-1, len(q_keys)), np.frombuffer(ck, np.int64)
                 c_order = np.argsort(c_no, kind="stable")
                 q, c, c_no = np.frombuffer(qm, np.float64).reshape(-1, w), np.frombuffer(cm, np.float64).reshape(-1, w)[c_order], c_no[c_order]
                 for lo in range(0, len(q), 512):
                     s = np.round(scores(q[lo : lo + 512], c, metric), digits) + 0.0
                     at = np.argsort(-s, axis=1, kind="stable")[:, :k]
                     r = np.repeat(np.arange(len(s)), at.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(q_no[lo + r]), pa.array(c_no[at.reshape(-1)]), pa.array(s[r, at.reshape(-1)])], names=["qid", "pos", "score"])
+                    cols = [pa.array(np.ascontiguousarray(q_no[lo + r, j])) for j in range(len(q_keys))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(c_no[at.reshape(-1)]), pa.array(s[r, at.reshape(-1)])], names=[*q_keys, "pos", "score"])
 
     return run
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", q_key: str = "qid", q_vector: str = "vector", key: str = "pos", vector: str = "vector", digits: int = 6) -> DataFrame:
-    """(qid, pos, score, rk): each query's k best corpus rows. Equal rounded scores go to the smaller pos.
+#: Query blocks are broadcast up to so many bytes; beyond it, pairs of blocks are spread over a grid.
+BROADCAST_BYTES = 64 << 20
+
+
+def block_pairs(queries: DataFrame, corpus: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every block of the queries (q_keys, q_matrix) with every block of the corpus of the same cell and width.
+
+    Few query blocks, by their measured size, are broadcast and the corpus stays where it is. Else both
+    sides are spread over a grid: a corpus block lies in one column of it and is sent to every row,
+    a query block lies in one row and is sent to every column. So no cell and no width, however
+    common, meets in one task.
+    """
+    spark = queries.sparkSession
+    q = queries.select("cell", "width", F.col("keys").alias("q_keys"), F.col("matrix").alias("q_matrix"))
+    size = q.agg(F.coalesce(F.sum(F.length("q_matrix")), F.lit(0))).first()[0]
+    limit = BROADCAST_BYTES if limit is None else limit
+    if size <= limit:
+        return corpus.join(F.broadcast(q), ["cell", "width"])
+    rows = int(size // max(limit, 1)) + 1
+    columns = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // rows))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("row", place("q_keys", rows)).withColumn("column", every(columns))
+    c = corpus.withColumn("column", place("keys", columns)).withColumn("row", every(rows))
+    return c.join(q, ["cell", "width", "row", "column"]).drop("row", "column")
+
+
+def search(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", q_key: str | list[str] = "qid", q_vector: str = "vector", key: str = "pos", vector: str = "vector", digits: int = 6, cell: str | None = None
+) -> DataFrame:
+    """(query keys, pos, score, rk): each query's k best corpus rows, of its own cell if both sides carry one. Equal rounded scores go to the smaller pos.
 
     l2 scores are negated squared distances. Fewer than k rows come out only if the corpus has fewer.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    q = pack(queries, q_key, q_vector).select(F.col("keys").alias("q_keys"), F.col("matrix").alias("q_matrix"), "width")
-    c = pack(corpus, key, vector)
-    pairs = c.join(q, "width").select("q_keys", "q_matrix", "keys", "matrix", "width")
-    near = pairs.mapInArrow(_best_of_blocks(metric, k, digits), "qid bigint, pos bigint, score double")
-    return best(near, ["qid"], [F.desc("score"), F.asc("pos")], k)
+    q_keys = [q_key] if isinstance(q_key, str) else list(q_key)
+    # written: the size is measured first, and the queries are not packed again
+    q = cut(pack(queries, q_keys, q_vector, cell))
+    pairs = block_pairs(q, pack(corpus, [key], vector, cell)).select("q_keys", "q_matrix", "keys", "matrix", "width")
+    schema = ", ".join(f"`{n}` bigint" for n in q_keys) + ", pos bigint, score double"
+    near = pairs.mapInArrow(_best_of_blocks(metric, k, digits, q_keys), schema)
+    return best(near, q_keys, [F.desc("score"), F.asc("pos")], k)
 
 
 def index_plan(vectors: DataFrame, vector: str = "vector") -> DataFrame:
@@ -109,7 +157,11 @@ def train_cells(corpus: DataFrame, nlist: int, key: str = "pos", vector: str = "
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    sample = corpus.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).orderBy(F.xxhash64(key), key).limit(sample_rows)
+    usable = corpus.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    # a hash range of about the size of the sample is filtered before it is sorted
+    share = (1.2 * sample_rows + 8 * sample_rows**0.5) / max(usable.count(), 1)
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    sample = (usable if share >= 1 else usable.where(hashed < int(share * (1 << 40)))).orderBy(hashed, key).limit(sample_rows)
     if nlist < 2:
         rows = [r[0] for r in sample.select(F.col(vector).cast("array<double>")).collect()]  # bounded by sample_rows
         return pd.DataFrame({"cell": [0], "centroid": [np.mean(rows, axis=0).tolist()]} if rows else {"cell": [], "centroid": []})
@@ -138,26 +190,10 @@ def assign_cells(df: DataFrame, centroids: list[tuple[int, list[float]]], vector
 def search_cells(queries: DataFrame, corpus: DataFrame, k: int, q_key: str = "qid", q_vector: str = "vector", key: str = "pos", vector: str = "vector", digits: int = 6) -> DataFrame:
     """(qid, pos, distance, rk): the k nearest by squared distance within each query's own cell. Both sides carry `cell`.
 
-    The join is by cell; a cell with many rows is cut into blocks first, so that no task holds a whole cell.
+    Rows are packed in blocks of one cell, and a cell with many blocks is spread over the tasks.
     """
-
-    def blocks(df: DataFrame, name: str, vec: str) -> DataFrame:
-        rows = df.where(F.col("cell").isNotNull() & F.col(vec).isNotNull()).select("cell", F.col(name).cast("bigint").alias("no"), F.col(vec).cast("array<double>").alias("v"))
-        return rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = np.array(batch.column("q").to_pylist(), np.float64)
-            c = np.array(batch.column("c").to_pylist(), np.float64)
-            d = np.round(((q - c) ** 2).sum(axis=1), digits) + 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("pos"), pa.array(d)], names=["qid", "pos", "distance"])
-
-    q = blocks(queries, q_key, q_vector).select("cell", F.col("no").alias("qid"), F.col("v").alias("q"))
-    c = blocks(corpus, key, vector).select("cell", F.col("no").alias("pos"), F.col("v").alias("c"))
-    near = c.join(q, "cell").select("qid", "pos", "q", "c").mapInArrow(run, "qid bigint, pos bigint, distance double")
-    return best(near, ["qid"], [F.asc("distance"), F.asc("pos")], k)
+    hits = search(queries, corpus, k, "l2", q_key, q_vector, key, vector, digits, "cell")
+    return hits.select(q_key, "pos", (0.0 - F.col("score")).alias("distance"), "rk")
 
 
 def pad_hits(hits: DataFrame, corpus: DataFrame, k: int, key: str = "pos") -> DataFrame:

@@ -30,13 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A frame whose plan is cut by a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where that is unset)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by spark.checkpoint.dir. Where that is unset a temporary one is used on a local master, and only there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lorewell-")
         spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A frame whose plan is cut by a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    at = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint()

@@ -14,6 +14,45 @@ from lorewell.functions.text import file_extension
 ENCODINGS = ("utf-8", "gbk", "gb18030", "latin-1")
 
 
+# The encodings tried in order where detection is not sure, and how sure it must be.
+DETECTED_ENCODINGS = ("utf-8", "gbk", "gb18030", "gb2312", "latin-1", "utf-16", "cp936", "big5")
+LEAST_CONFIDENCE = 0.7
+
+
+class Detector(Protocol):
+    """Guesses an encoding: (name or None, confidence from 0 to 1)."""
+
+    def detect(self, raw: bytes) -> tuple[str | None, float]: ...
+
+
+class ByteDetector:
+    """Offline detector: byte order marks, strict UTF-8, and the share of common characters under a Chinese code page."""
+
+    MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+    def detect(self, raw: bytes) -> tuple[str | None, float]:
+        for mark, name in self.MARKS:
+            if raw.startswith(mark):
+                return name, 1.0
+        try:
+            text = raw.decode("utf-8")
+            return ("ascii", 1.0) if text.isascii() else ("utf-8", 0.99)
+        except UnicodeDecodeError:
+            pass
+        best: tuple[str | None, float] = (None, 0.0)
+        for name in ("gb18030", "big5"):
+            try:
+                beyond = [c for c in raw.decode(name) if ord(c) > 127]
+            except UnicodeDecodeError:
+                continue
+            # the first level of the national standard holds the common characters; its lead bytes end at 0xD7
+            common = sum(0xB0 <= b[0] <= 0xD7 or b[0] == 0xA1 or b[0] == 0xA3 for c in beyond if len(b := c.encode("gb2312", "ignore")) == 2)
+            share = common / max(len(beyond), 1)
+            if share > best[1]:
+                best = (name, share)
+        return best
+
+
 class FileExtractor(Protocol):
     """Text of a binary document, such as the pages of a PDF joined by blank lines. Raises if it cannot be read."""
 
@@ -29,7 +68,25 @@ def decode_bytes(raw: bytes | None, encodings: tuple[str, ...] = ENCODINGS) -> s
             return raw.decode(e)
         except UnicodeDecodeError:
             continue
-    return raw.decode("utf-8", "replace")
+    return lenient_utf8(raw)
+
+
+def lenient_utf8(raw: bytes) -> str:
+    """UTF-8 without the bytes that are none."""
+    return raw.decode("utf-8", "ignore")
+
+
+def decode_detected(raw: bytes | None, detector: Detector | None = None) -> str | None:
+    """The text under the detected encoding if detection is sure, else under the first of DETECTED_ENCODINGS that fits; lenient UTF-8 where that fails. Null stays null."""
+    if raw is None:
+        return None
+    name, confidence = (detector or ByteDetector()).detect(raw)
+    if not name or confidence <= LEAST_CONFIDENCE:
+        return decode_bytes(raw, DETECTED_ENCODINGS)
+    try:
+        return raw.decode(name)
+    except (UnicodeDecodeError, LookupError):
+        return lenient_utf8(raw)
 
 
 def decode_column(content: Column, encodings: tuple[str, ...] = ENCODINGS) -> Column:
@@ -40,8 +97,16 @@ def decode_column(content: Column, encodings: tuple[str, ...] = ENCODINGS) -> Co
     return run(content)
 
 
-def read_files(spark: SparkSession, path: str, extractor: FileExtractor | None = None, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """(path, source, ext, text, error) of the files of a folder; a file that cannot be read has an error and no text."""
+def detected_column(content: Column, detector: Detector | None = None) -> Column:
+    @F.pandas_udf("string")
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(lambda b: decode_detected(bytes(b) if b is not None else None, detector))
+
+    return run(content)
+
+
+def read_files(spark: SparkSession, path: str, extractor: FileExtractor | None = None, encodings: tuple[str, ...] = ENCODINGS, detector: Detector | None = None) -> DataFrame:
+    """(path, source, ext, text, error) of the files of a folder; a file that cannot be read has an error and no text. With a detector, encodings are detected."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
     @F.pandas_udf("struct<text:string, error:string>")
@@ -54,7 +119,7 @@ def read_files(spark: SparkSession, path: str, extractor: FileExtractor | None =
                         raise ValueError("no extractor for this kind of file")
                     rows.append((extractor.extract(bytes(b)), None))
                 else:
-                    rows.append((decode_bytes(bytes(b), encodings), None))
+                    rows.append((decode_detected(bytes(b), detector) if detector else decode_bytes(bytes(b), encodings), None))
             except Exception as x:  # recorded for the file; the others go on
                 rows.append((None, f"{type(x).__name__}: {x}"))
         return pd.DataFrame(rows, columns=["text", "error"])

@@ -1,4 +1,4 @@
-"""Knowledge bases as partitions of one Parquet table: list, create, drop, files, merge."""
+"""Knowledge bases: chunk ledgers and their vectors in bucketed Parquet; list, create, drop, files, merge, embed, search."""
 
 from __future__ import annotations
 
@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.config import Settings
-from lorewell.operators.merge import upsert
+from lorewell.operators.embed import Embedder, embed_column, embed_missing
+from lorewell.operators.search import search
+
+from . import store
+from .store import BucketStore
 
 CHUNK_SCHEMA = "pos bigint, id string, chunk string, metadata struct<source:string>, source string, method string"
+VECTOR_SCHEMA = "pos bigint, id string, vector array<float>"
 
 
 def safe_name(name: str) -> str:
@@ -23,25 +28,20 @@ def safe_name(name: str) -> str:
 
 
 class KnowledgeBases:
-    """Chunk and vector tables under a root folder, one partition folder `kb=<name>` each."""
+    """Chunk and vector tables under a root folder, one folder `kb=<name>` of each."""
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def path(self, kb: str, table: str = "chunks") -> str:
         return f"{self.root}/{table}/kb={safe_name(kb)}"
 
     def exists(self, kb: str, table: str = "chunks") -> bool:
-        fs, p = self._fs(self.path(kb, table))
-        return fs.exists(p)
+        return store.exists(self.spark, self.path(kb, table))
 
     def list(self) -> list[str]:
         """Sorted names; the default one is always among them."""
-        fs, p = self._fs(f"{self.root}/chunks")
+        fs, p = store._fs(self.spark, f"{self.root}/chunks")
         names = [s.getPath().getName()[3:] for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted({*names, self.settings.default_kb})
 
@@ -50,7 +50,7 @@ class KnowledgeBases:
         name = safe_name(kb)
         if self.exists(name):
             raise FileExistsError(name)
-        fs, p = self._fs(self.path(name))
+        fs, p = store._fs(self.spark, self.path(name))
         fs.mkdirs(p)
         return name
 
@@ -63,33 +63,46 @@ class KnowledgeBases:
         if not self.exists(kb):
             raise FileNotFoundError(kb)
         for table in ("chunks", "vectors"):
-            fs, p = self._fs(self.path(kb, table))
-            fs.delete(p, True)
+            store.remove(self.spark, self.path(kb, table))
+
+    def _store(self, kb: str, table: str = "chunks") -> BucketStore:
+        return BucketStore(self.spark, self.path(kb, table), CHUNK_SCHEMA if table == "chunks" else VECTOR_SCHEMA)
 
     def chunks(self, kb: str) -> DataFrame:
         """The chunk ledger; empty for a new knowledge base. A damaged ledger is an error, not an empty one."""
-        fs, p = self._fs(self.path(kb))
-        if not fs.exists(p) or fs.listStatus(p).__len__() == 0:
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(self.path(kb))
+        return self._store(kb).read()
+
+    def vectors(self, kb: str) -> DataFrame:
+        return self._store(kb, "vectors").read()
 
     def files(self, kb: str) -> DataFrame:
         return self.chunks(kb).select("source").where("source IS NOT NULL").distinct().orderBy("source")
 
-    def merge(self, kb: str, new: DataFrame, replace_sources: bool = False) -> None:
+    def merge(self, kb: str, new: DataFrame, replace_sources: bool = False) -> tuple[int, int]:
         """Upserts chunks (id, chunk, source, method, pos within the batch) by id: first position, last values.
 
-        Written beside the old version and swapped in, so that a failure leaves the old one.
+        Returns the number of entries afterwards and that of the batch, repeats among them. With
+        replace_sources, earlier chunks of the batch's files are dropped first.
         """
-        old = self.chunks(kb)
-        if replace_sources:
-            old = old.join(new.select("source").distinct(), "source", "left_anti").select(*old.columns)
-        top = old.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0]
-        shifted = new.select((F.col("pos") + top + 1).alias("pos"), "id", "chunk", F.struct("source").alias("metadata"), "source", "method")
-        merged = upsert(old.unionByName(shifted), "id", "pos").select(*old.columns)
-        tmp = self.path(kb) + "__new"
-        merged.write.mode("overwrite").parquet(tmp.replace("kb=", "_new_kb="))
-        fs, src = self._fs(tmp.replace("kb=", "_new_kb="))
-        _, dst = self._fs(self.path(kb))
-        fs.delete(dst, True)
-        fs.rename(src, dst)
+        rows = new.select("pos", "id", "chunk", F.struct("source").alias("metadata"), "source", "method")
+        keep = self.chunks(kb).join(new.select("source").distinct(), "source", "left_anti") if replace_sources else None
+        return self._store(kb).merge(rows, keep)
+
+    def embed(self, kb: str, embedder: Embedder) -> int:
+        """Gives a vector to every chunk that has none yet, and drops those whose chunk is gone or changed its place. Returns the number of vectors."""
+        chunks, stored = self.chunks(kb), self._store(kb, "vectors")
+        have = stored.read()
+        current = have.join(chunks.select("id", "pos"), ["id", "pos"], "left_semi")
+        stale = not have.join(chunks.select("id", "pos"), ["id", "pos"], "left_anti").isEmpty()
+        made = embed_missing(chunks.select("id", "pos", "chunk"), current, embedder).where("vector IS NOT NULL").select("pos", "id", "vector")
+        # vectors keep the places of their chunks, which a merge would shift
+        placed = made.withColumn("pos", F.col("pos") - stored._state()["end"])
+        # only buckets of new vectors are rewritten, unless some have to go
+        return stored.merge(placed, current if stale else None)[0]
+
+    def search(self, kb: str, questions: DataFrame, embedder: Embedder, k: int = 5, metric: str = "ip") -> DataFrame:
+        """(qid, rk, id, chunk, score) of each question's k best chunks. questions: qid, question; blank ones have no hits."""
+        asked = embed_column(questions.select("qid", "question"), "question", embedder).where("vector IS NOT NULL AND trim(question) <> ''")
+        hits = search(asked, self.vectors(kb), k, metric)
+        # a hit is looked up by its place: k rows a question
+        return hits.join(self.chunks(kb).select("pos", "id", "chunk"), "pos").select("qid", "rk", "id", "chunk", "score")

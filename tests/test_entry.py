@@ -37,6 +37,6 @@ def test_query(spark, small_dir, duck, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["id", "pos", "chunk", "source", "method"]
+    assert e.entry(spark).columns == ["id", "file_no", "ordinal", "chunk", "source", "method"]
     assert set(catalog.queries()) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())

@@ -8,9 +8,12 @@ from lorewell.config import Settings
 from lorewell.functions import vector as vx
 from lorewell.operators import chunking, embed, merge, multihop, prompts, recall
 from lorewell.operators import search as vs
+from lorewell.operators.dialogue import Dialogue
+from lorewell.plans.ingest import ingest_files
 from lorewell.plans.session import cut
+from lorewell.sources import store
+from lorewell.sources.files import DETECTED_ENCODINGS, decode_bytes, decode_detected, read_files
 from lorewell.sources.knowledge_base import KnowledgeBases
-from lorewell.sources.files import read_files
 from lorewell.sources.pages import TableProvider, result_links
 from lorewell.streaming.ingest import stream_ingest
 
@@ -180,3 +183,134 @@ def test_reasoning_and_parallel_prompts(spark):
     assert all("（如果有）\n无\n" in r["r"] and "未检索到信息。" in r["r"] for r in rows[1:])
     assert rows[0]["m"].startswith("问题：why\n\n网络搜索结果：w\n\n本地知识库分析：l") and rows[1]["m"].endswith("[联网搜索结果]：w") and rows[2]["m"] is None and rows[3]["m"] is None
     assert [r["a"] for r in rows] == ["l", "未找到相关信息。", "l", "未找到相关信息。"]
+
+
+def test_search_over_a_grid(spark, monkeypatch):
+    """Beyond the broadcast limit, blocks are spread over a grid; cells, widths and hits stay the same."""
+    rng = np.random.default_rng(3)
+    data = [(i, i % 4, [float(v) for v in rng.normal(size=3 + i % 2)]) for i in range(200)]
+    df = spark.createDataFrame(data, "pos bigint, cell bigint, vector array<double>").repartition(6)
+    q = df.where("pos % 9 = 0").withColumnRenamed("pos", "qid")
+    want = rows(vs.search(q, df, 3, "l2", cell="cell"))
+    assert all(data[r[0]][1] == data[r[1]][1] and len(data[r[0]][2]) == len(data[r[1]][2]) for r in want)
+    monkeypatch.setattr(vs, "BROADCAST_BYTES", 300)
+    monkeypatch.setattr(vs, "BLOCK", 7)
+    assert rows(vs.search(q, df, 3, "l2", cell="cell")) == want
+    two = q.withColumn("n", F.lit(5))
+    assert rows(vs.search(two, df, 3, "l2", q_key=["qid", "n"], cell="cell").drop("n")) == want
+
+
+def test_embedders():
+    tries = []
+
+    def call(texts):
+        tries.append(len(texts))
+        if len(tries) == 1:
+            raise OSError("busy")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    api = embed.ApiEmbedder(call, 2, batch=2, wait=0)
+    assert api.embed(["a", "bb", "ccc"]).tolist() == [[1, 1], [2, 1], [3, 1]] and tries == [2, 2, 1]
+    assert api.embed([]).shape == (0, 2)
+    with pytest.raises(ValueError):
+        embed.ApiEmbedder(lambda t: [[1.0]], 2, wait=0).embed(["a"])
+    loads = []
+
+    def load():
+        loads.append(1)
+        return (lambda t: (np.zeros((len(t), 3)), [[1, 1, 0]] * len(t))), (lambda ids, mask: np.arange(6.0).reshape(1, 3, 2).repeat(len(ids), 0))
+
+    model = embed.ModelEmbedder(load, 2)
+    assert model.embed(["x"]).tolist() == [[1.0, 2.0]] and model.embed(["y", "z"]).shape == (2, 2) and loads == [1]
+    assert embed.LetterEmbedder().embed(["Abba é"]).tolist()[0][:3] == [2, 2, 0]
+
+
+def test_decoding_with_detection():
+    chinese = "时钟信号在复位之后有效"
+    assert decode_detected(chinese.encode("gbk")) == chinese and decode_detected(("﻿" + chinese).encode("utf-16-le")) == chinese
+    assert decode_detected(b"") == "" and decode_detected(None) is None and decode_detected(b"abc\xff\xfe") == decode_bytes(b"abc\xff\xfe", DETECTED_ENCODINGS)
+
+    class Sure:
+        def detect(self, raw):
+            return "ascii", 0.9
+
+    assert decode_detected("é!".encode(), Sure()) == "é!" and decode_detected(b"\xff!", Sure()) == "!"
+
+
+def test_store_leaves_old_or_new(spark, tmp_path, monkeypatch):
+    """An upsert that fails anywhere leaves the table as it was; only buckets of the batch are rewritten."""
+    path = f"file://{tmp_path}/t"
+    open_ = lambda: store.BucketStore(spark, path, "pos bigint, id string, v int", buckets=4)
+    df = lambda *r: spark.createDataFrame(list(r), "pos bigint, id string, v int")
+    assert open_().merge(df((0, "a", 1), (1, "b", 2), (2, "a", 3), (3, None, 9))) == (2, 3)
+    before = rows(open_().read(), "id")
+    assert before == [(0, "a", 3), (1, "b", 2)]
+    monkeypatch.setattr(store, "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        open_().merge(df((0, "a", 7)))
+    assert rows(open_().read(), "id") == before
+    monkeypatch.undo()
+    kept = open_()._state()["folders"]
+    assert open_().merge(df((0, "b", 5), (1, "c", 6)))[0] == 3
+    assert rows(open_().read(), "id") == [(0, "a", 3), (1, "b", 5), (4, "c", 6)]
+    now = open_()._state()["folders"]
+    assert any(now.get(b) == f for b, f in kept.items())
+    assert open_().merge(df((0, "z", 1)), open_().read().where("id = 'a'"))[0] == 2
+    assert open_().merge(df())[0] == 2
+
+
+def test_upload_and_dialogue(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("the counter waits for the reset of the bridge and starts again")
+    (folder / "b.txt").write_text("zebra quagga okapi giraffe and more animals of the plain")
+    (folder / "c.pdf").write_bytes(b"%PDF")
+    (folder / "d.txt").write_text("short")
+    bases = KnowledgeBases(spark, f"file://{tmp_path}/kb")
+    with pytest.raises(ValueError):
+        ingest_files(bases, " ", str(folder), embed.LetterEmbedder())
+    report = ingest_files(bases, "notes", str(folder), embed.LetterEmbedder())
+    assert (report.total, report.new, report.n_errors) == (2, 2, 2) and {r["source"] for r in report.errors.collect()} == {"c.pdf", "d.txt"}
+    assert "总条目: 2\n本次新增: 2" in report.message
+    assert ingest_files(bases, "notes", str(folder), embed.LetterEmbedder()).total == 2
+    v = {r["id"]: r["pos"] for r in bases.vectors("notes").collect()}
+    assert v == {r["id"]: r["pos"] for r in bases.chunks("notes").collect()} and len(v) == 2
+    # replaced files lose their old chunks, and the vectors of these go
+    new = spark.createDataFrame([(0, "n", "quagga quagga zebra zebra", "b.txt", "m")], "pos bigint, id string, chunk string, source string, method string")
+    assert bases.merge("notes", new, replace_sources=True)[0] == 2 and bases.embed("notes", embed.LetterEmbedder()) == 2
+    asked = spark.createDataFrame([(1, "zebra"), (2, " "), (3, None)], "qid bigint, question string")
+    hits = rows(bases.search("notes", asked, embed.LetterEmbedder(), 1, "cosine").select("qid", "rk", "id"))
+    assert hits == [(1, 1, "n")]
+
+    class Echo:
+        def generate(self, p):
+            return p.withColumn("answer", F.concat(F.lit("A:"), F.col("prompt")))
+
+    class Broken:
+        def search(self, query):
+            raise OSError("no network")
+
+    pages = spark.createDataFrame([(1, "http://a", "T", "web words", "zebra")], "page_id bigint, url string, title string, text string, query_text string")
+    talk = lambda provider, kb="notes", **k: Dialogue(bases, kb, embed.LetterEmbedder(), Echo(), provider, **k)
+    events = list(talk(TableProvider(pages)).stream("zebra", [("old question", "old answer")]))
+    assert [e.stage for e in events] == ["start", "hits", "local", "web", "merge"]
+    assert "用户：old question\n助手：old answer\n" in events[-1].answer and "网络搜索结果：web words" in events[-1].answer and "[Chunk 1]" in events[2].answer
+    events = list(talk(Broken()).stream("zebra"))
+    assert [e.stage for e in events] == ["start", "hits", "local", "web failed", "web", "local"] and events[-1].answer == events[2].answer
+    assert list(talk(None, "gone").stream("zebra"))[-1].answer.startswith("无法回答")
+    assert [e.stage for e in talk(TableProvider(pages), "gone").stream("zebra")] == ["start", "web", "web"]
+    reasoner = multihop.ScriptedReasoner(lambda h: h.where("rk = 1").select("qid", F.array("chunk").alias("follow_ups")), enough_at=1)
+    events = list(talk(None, reasoner=reasoner).stream("zebra", multi_hop=True))
+    assert [e.stage for e in events] == ["start", "hop 0", "hop 1", "local", "local"] and "quagga" in events[-1].answer
+
+
+def test_older_profiles():
+    text = "一二三四五六，七八九十。" * 3
+    new, old = (chunking.split_text(text, ".pdf", 12, 0, 1, p) for p in (chunking.PROFILES, chunking.OLDER_PROFILES))
+    assert new == old  # the full stop comes first in both
+    text = "a;b c;d e;f g"
+    assert chunking.split_text(text, ".txt", 5, 0, 1) == ["a;b c", ";d e", ";f g"]
+    assert chunking.split_text(text, ".txt", 5, 0, 1, chunking.OLDER_PROFILES) == ["a;b", "c;d", "e;f", "g"]
+    text = "一，二！三，四！五，六"
+    assert chunking.split_text(text, ".pdf", 4, 0, 1) == ["一，二", "！三，四", "！五，六"]
+    assert chunking.split_text(text, ".pdf", 4, 0, 1, chunking.OLDER_PROFILES) == ["一", "，二！三", "，四！五", "，六"]
