@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,14 +10,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.plans.session import shared_folder
+from lorewell.sources.store import read_text, remove, write_text
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lorewell-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+__all__ = ["arrow_map", "hashed_sample", "materialise", "new_path", "out_batch", "read_text", "remove", "rows_at", "shared_folder", "slices", "write_text"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -32,40 +27,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that one of these operators wrote."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside its old version and change over by renaming."""
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(new, True)
-    out.write(text.encode())
-    out.close()
-    fs.delete(old, False)
-    if not fs.rename(new, old):
-        raise OSError(f"cannot rename to {path}")
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file; its new version, if a writer ended between deleting the old one and renaming."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        p = jvm.org.apache.hadoop.fs.Path(path + ".new")
-    stream = fs.open(p)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-    finally:
-        stream.close()
-
-
 #: Resolution of the hash range that a sample is drawn from.
 _RANGE = 1 << 40
 
@@ -89,6 +50,16 @@ def hashed_sample(df: DataFrame, key: str, rows: int, group: Column | None = Non
     return near.orderBy(at(F.col(key)), key).limit(rows)
 
 
+#: Rows that are chosen by number are told to the workers up to so many, and joined beyond it.
+BROADCAST_ROWS = 2_000_000
+
+
+def rows_at(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is among those of `wanted` (one column, the key, without repeats). Few keys, by count, spare the shuffle of df."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about `chars` bytes of the text column (at least one row).
 

@@ -7,7 +7,10 @@ substring in its own index finds every code within that Hamming radius. Records
 a bucket are reranked by cosine similarity in double precision, and each keeps its best in
 the bucket; the best of all buckets are merged.
 
-Substrings grow with the logarithm of the number of records, so buckets keep their size.
+Substrings grow with the logarithm of the number of records, so buckets keep their size, as long
+as the recall allows it: the true neighbours of a bounded sample of records are found by brute
+force over all records, and substrings are shortened until RECALL_TARGET of these pairs share
+a bucket. Every record is indexed and searched, whatever the sample.
 A bucket that is large all the same is worked off in tiles of two blocks: a tile is all a task
 ever holds, and the tiles together still compare everything in the bucket.
 """
@@ -32,6 +35,9 @@ SAMPLE_ROWS = 20_000
 #: Substrings of a code: codes within Hamming distance SUBSTRINGS - 1 are all found.
 SUBSTRINGS = 6
 
+#: Share of the true neighbours of MEASURED records, drawn by a hash, that must share a bucket.
+RECALL_TARGET, MEASURED = 0.99, 400
+
 #: Rows of a block. A bucket of more than 2 * BLOCK rows is tiled.
 BLOCK = 2048
 
@@ -99,6 +105,57 @@ def substring_bits(rows: int) -> int:
     return min(max(8, math.ceil(math.log2(max(rows, 1) / 16 + 1))), 32)
 
 
+#: Substrings are never shorter than this.
+LEAST_BITS = 4
+
+
+def true_neighbours(base: DataFrame, k: int, queries: int = MEASURED) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of sampled records, and of the k nearest others of each (queries, k, WIDTH), by one pass over all records. Missing ones are NaN."""
+    drawn = hashed_sample(base, "no", queries).select("no", "v").toArrow()
+    names = drawn.column("no").to_numpy()
+    q = np.concatenate([_unit(_floats(c)) for c in drawn.column("v").chunks if len(c)])
+    held = base.sparkSession.sparkContext.broadcast((names, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = held.value
+        best = np.full((len(q), k), -2.0)
+        near = np.zeros((len(q), k, WIDTH), np.float32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _floats(batch.column("v"))
+            s = q @ _unit(v).T
+            s[names[:, None] == batch.column("no").to_numpy()[None, :]] = -2
+            every = np.concatenate((best, s), axis=1)
+            at = np.argpartition(-every, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(every, at, axis=1)
+            fresh = at >= k
+            r, c = np.nonzero(fresh)
+            kept = np.take_along_axis(near, np.minimum(at, k - 1)[:, :, None], axis=1)
+            kept[r, c] = v[at[r, c] - k]
+            near = kept
+        r, c = np.nonzero(best > -1.5)
+        yield out_batch({"q": r.astype(np.int32), "score": best[r, c], "v": pa.array([x.tobytes() for x in near[r, c]], pa.binary())})
+
+    # queries * k rows a task at most
+    top = base.select("no", "v").mapInArrow(run, "q int, score double, v binary").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "v"))), 1, k).alias("top"))
+    out = np.full((len(q), k, WIDTH), np.nan)
+    for r in top.collect():
+        for j, hit in enumerate(r["top"]):
+            out[r["q"], j] = _unit(np.frombuffer(hit["v"], np.float32)[None, :])[0]
+    return q, out
+
+
+def measured_recall(q: np.ndarray, near: np.ndarray, mean: np.ndarray, matrix: np.ndarray, most: int) -> dict[int, float]:
+    """Share of the true neighbours that share a bucket with their record, for each length of substring from LEAST_BITS on."""
+    ok = np.isfinite(near[:, :, 0])
+    bit = lambda x: ((x - mean) @ matrix > 0).reshape(*x.shape[:-1], SUBSTRINGS, most)
+    same = bit(q)[:, None] == bit(np.nan_to_num(near))
+    # the length of the common beginning of each substring
+    reach = np.where(same.all(axis=-1), most, same.argmin(axis=-1)).max(axis=-1)[ok]
+    return {b: float((reach >= b).mean()) if len(reach) else 1.0 for b in range(min(LEAST_BITS, most), most + 1)}
+
+
 def substrings(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray, bits: int) -> np.ndarray:
     """SUBSTRINGS values of `bits` bits for each unit vector."""
     code = ((x - mean) @ matrix > 0).reshape(len(x), -1, bits)
@@ -115,8 +172,15 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, sample_rows: int = SAMPL
     rows = base.count()
     sample = hashed_sample(base, "no", sample_rows).select("v").toArrow().column("v")
     x = np.concatenate([_unit(_floats(c)) for c in sample.chunks if len(c)]) if len(sample) else np.zeros((0, WIDTH))
-    bits = substring_bits(rows)
-    model = spark.sparkContext.broadcast((*fit_rotations(x, bits * SUBSTRINGS), bits))
+    most = substring_bits(rows)
+    mean, matrix = fit_rotations(x, most * SUBSTRINGS)
+    bits = most
+    if rows:
+        recall = measured_recall(*true_neighbours(base, k), mean, matrix, most)
+        bits = max((b for b, r in recall.items() if r >= RECALL_TARGET), default=LEAST_BITS)
+    # shorter substrings are the first bits of each
+    matrix = matrix.reshape(WIDTH, SUBSTRINGS, most)[:, :, :bits].reshape(WIDTH, -1)
+    model = spark.sparkContext.broadcast((mean, matrix, bits))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, matrix, bits = model.value

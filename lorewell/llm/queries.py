@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,7 +126,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repetition
 
-    return repetition.measure(_t(spark, sf_dir, "documents"))
+    return repetition.measure(_t(spark, sf_dir, "documents")).select("doc_id", (F.round("repeated_share", 6) + 0.0).alias("repeated_share"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,7 +47,7 @@ def _classes() -> np.ndarray:
 
 
 def boundary_strength(cps: np.ndarray) -> np.ndarray:
-    """For each i, how natural a cut after character i is: 6 blank line, 5 line, 4 sentence, 2 clause, 1 word, 0 none, -1 before a combining mark."""
+    """For each i, how natural a cut after character i is: 6 blank line, 5 line, 4 sentence, 2 clause, 1 word, 0 none, -1 before a combining mark or within a line end."""
     if not len(cps):
         return np.zeros(0, np.int8)
     c = _classes()[cps]
@@ -59,8 +59,11 @@ def boundary_strength(cps: np.ndarray) -> np.ndarray:
     end = (c[:-1] == 3) & (c[1:] == 1)
     s[1:][end] = 4
     s[c == 5] = 5
-    s[(c == 5) & (np.concatenate(([0], c[:-1])) == 5)] = 6
-    s[after == 9] = -1
+    pair = (cps == 13) & (np.append(cps[1:], 0) == 10)  # one line end of two characters
+    second = np.concatenate(([False], pair[:-1]))
+    before = np.concatenate(([0], c[:-1]))
+    s[(c == 5) & (np.where(second, np.concatenate(([0], before[:-1])), before) == 5)] = 6
+    s[(after == 9) | pair] = -1
     return s
 
 
@@ -73,9 +76,9 @@ def geometry(limit: int, overlap: int) -> tuple[int, int]:
 
 
 def halo(limit: int, overlap: int) -> int:
-    """Characters before a range that its worker needs: the previous cut's window, the overlap and one for context."""
+    """Characters before a range that its worker needs: the previous cut's window, the overlap and two for context."""
     step, slack = geometry(limit, overlap)
-    return step + slack + overlap + 2
+    return step + slack + overlap + 3
 
 
 def pieces_of_range(cps: np.ndarray, base: int, lo: int, hi: int, total: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:

@@ -117,6 +117,17 @@ def test_near_duplicates(chunks, chunk_rows):
     assert got(neardup.found(chunks.limit(0))) == set()
 
 
+def test_near_duplicates_other_ways(chunks, chunk_rows, monkeypatch):
+    """Every single value listed, and every list in tiles, give the same pairs."""
+    want = got(neardup.found(chunks))
+    assert got(neardup.found(chunks, exact=True)) == want
+    monkeypatch.setattr(neardup, "HOT_LIST", 2)
+    monkeypatch.setattr(neardup, "LOOKED_AT", 1)
+    assert not neardup.hot_lists(chunks).isEmpty()
+    assert got(neardup.found(chunks)) == want
+    assert got(neardup.found(chunks.limit(0))) == set()
+
+
 def test_groups(chunks, chunk_rows):
     parent = {p: p for p in usable(chunk_rows)}
 
@@ -393,6 +404,21 @@ def test_nearest_vectors(spark, monkeypatch):
     assert got(knn.found(df.limit(0))) == set()
 
 
+def test_measured_recall(spark):
+    """True neighbours of the sample are those of brute force, and shorter substrings never lose pairs."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 64)), 8, axis=0) + 0.6 * rng.normal(size=(480, 64))
+    df = spark.createDataFrame([(i, f"v{i}", [float(v) for v in r]) for i, r in enumerate(x)], "vec_no bigint, id string, vector array<float>").repartition(3)
+    q, near = knn.true_neighbours(knn.usable(df).cache(), 5, 50)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.sort(q @ u.T, axis=1)[:, ::-1][:, 1:6]
+    assert np.allclose(np.sort((near * q[:, None]).sum(axis=2), axis=1)[:, ::-1], s, atol=1e-6)
+    recall = knn.measured_recall(q, near, *knn.fit_rotations(u, 12 * knn.SUBSTRINGS), 12)
+    values = [recall[b] for b in sorted(recall)]
+    assert values == sorted(values, reverse=True) and values[0] > values[-1]
+
+
 def test_tiles_lose_no_pair():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(20, 64)).astype(np.float32)
