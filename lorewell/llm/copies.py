@@ -1,73 +1,97 @@
 """Problem 3: duplicates hidden by formatting differences, with an incremental ledger of copy counts.
 
-The ledger holds one row a canonical key: (k1, k2, first_pos, n_copies), bucketed and sorted
-by key in the shared folder. A new batch is aggregated to its own keys first (map-side combine,
-so a key that holds a third of the rows shuffles one row a task), then full-outer-joined bucket
-by bucket: only the batch's few rows are shuffled, never the ledger. Counts add up, and the
-earliest representative (smallest pos) stays.
+The ledger holds one row a canonical key: (k1, k2, first_pos, n_copies), in folders of hash
+buckets in the shared folder. A new batch is aggregated to its own keys first (map-side combine,
+so a key that holds a third of the rows shuffles one row a task), then full-outer-joined with
+the buckets that its keys fall into; only these are read and written again. Counts add up, and
+the earliest representative (smallest pos) stays. A manifest names the folder of each bucket;
+it is changed over after the new folders are written, and lets a later session go on.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, remove
+from .common import materialise, new_path, read_text, remove, write_text
 from .records import keyed
 
 LEDGER_COLUMNS = ["k1", "k2", "first_pos", "n_copies"]
+LEDGER = "k1 bigint, k2 bigint, first_pos bigint, n_copies bigint"
 
 #: A key is hot if it holds more than 1/HOT_PARTS of all rows; so there are fewer than HOT_PARTS of them.
 HOT_PARTS = 256
 
+#: Keys of a bucket that the number of buckets is planned for.
+BUCKET_KEYS = 2_000_000
+
 
 class Ledger:
-    """Bucketed canonical-key counts in the shared folder; `add` folds in a batch of keyed rows.
+    """Bucketed canonical-key counts in the shared folder; `create` or `open` one, then `add` batches of keyed rows.
 
     Empty batches leave the ledger as it is. Before the first batch the ledger is empty.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        # at least as many as shuffle partitions, else Spark would shuffle the ledger's side again
-        self.buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.table: str | None = None
-        self.path: str | None = None
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path.rstrip("/"), state
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str | None = None, keys: int = 0, buckets: int | None = None) -> Ledger:
+        """An empty ledger, with buckets planned for so many keys in all."""
+        ledger = cls(spark, path or new_path(spark, "copy-ledger"), {"buckets": buckets or max(16, math.ceil(keys / BUCKET_KEYS)), "folders": {}})
+        ledger._save()
+        return ledger
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Ledger:
+        """The ledger that an earlier session left there."""
+        text = read_text(spark, f"{path.rstrip('/')}/_manifest.json")
+        if text is None:
+            raise FileNotFoundError(path)
+        return cls(spark, path, json.loads(text))
+
+    def _save(self) -> None:
+        write_text(self.spark, f"{self.path}/_manifest.json", json.dumps(self.state))
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(*(f"{self.path}/{f}" for f in sorted(folders)))
 
     def frame(self) -> DataFrame:
-        if self.table is None:
-            return self.spark.createDataFrame([], "k1 bigint, k2 bigint, first_pos bigint, n_copies bigint")
-        return self.spark.table(self.table)
-
-    def add(self, batch: DataFrame) -> None:
-        new = batch.groupBy("k1", "k2").agg(F.min("pos").alias("b_pos"), F.count("*").alias("b_n"))
-        if self.table is None:
-            out = new.select("k1", "k2", F.col("b_pos").alias("first_pos"), F.col("b_n").alias("n_copies"))
-        else:
-            out = (
-                self.frame()
-                .hint("merge")
-                .join(new, ["k1", "k2"], "full_outer")
-                .select(
-                    "k1",
-                    "k2",
-                    F.least("first_pos", "b_pos").alias("first_pos"),
-                    (F.coalesce("n_copies", F.lit(0)) + F.coalesce("b_n", F.lit(0))).alias("n_copies"),
-                )
-            )
-        table, path = f"copy_ledger_{uuid.uuid4().hex}", new_path(self.spark, "copy-ledger")
-        out.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).format("parquet").saveAsTable(table)
-        self.close()
-        self.table, self.path = table, path
-
-    def close(self) -> None:
-        """Drop the current version and its files."""
-        if self.table is not None:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-            remove(self.spark, self.path)
-            self.table = self.path = None
+        return self._read(list(self.state["folders"].values()))
+
+    def add(self, batch: DataFrame) -> list[str]:
+        """Folds in a batch (pos, k1, k2) and returns the buckets that were written again."""
+        bucket = F.pmod(F.xxhash64("k1", "k2"), F.lit(self.state["buckets"])).cast("int")
+        new = materialise(batch.groupBy("k1", "k2").agg(F.min("pos").alias("b_pos"), F.count("*").alias("b_n")).withColumn("bucket", bucket), "copy-batch")
+        # one number a bucket
+        touched = sorted(str(b) for (b,) in new.select("bucket").distinct().collect())
+        if not touched:
+            return []
+        old = self._read([self.state["folders"][b] for b in touched if b in self.state["folders"]])
+        out = old.join(new, ["k1", "k2"], "full_outer").select(
+            "k1",
+            "k2",
+            F.least("first_pos", "b_pos").alias("first_pos"),
+            (F.coalesce("n_copies", F.lit(0)) + F.coalesce("b_n", F.lit(0))).alias("n_copies"),
+        )
+        folder = f"part-{uuid.uuid4().hex}"
+        # a task holds few buckets, so that a bucket is few files
+        out.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        gone = [self.state["folders"][b] for b in touched if b in self.state["folders"]]
+        self.state["folders"] |= {b: f"{folder}/bucket={b}" for b in touched}
+        self._save()
+        for f in gone:
+            remove(self.spark, f"{self.path}/{f}")
+        return touched
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
 
 
 def with_first(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -91,7 +115,7 @@ def count_copies(chunks: DataFrame, batch: str = "batch_no") -> tuple[DataFrame,
     Null batch numbers form a batch of their own, which comes first.
     """
     rows = materialise(keyed(chunks, ["pos", batch]), "copy-keys")
-    ledger = Ledger(chunks.sparkSession)
+    ledger = Ledger.create(chunks.sparkSession, keys=rows.count())
     # one number a batch; a run has few batches (here 12), whatever the rows
     for (b,) in sorted(rows.select(batch).distinct().collect(), key=lambda r: (r[0] is not None, r[0])):
         ledger.add(rows.where(F.col(batch).eqNullSafe(F.lit(b))))
@@ -101,7 +125,9 @@ def count_copies(chunks: DataFrame, batch: str = "batch_no") -> tuple[DataFrame,
 def found(chunks: DataFrame) -> DataFrame:
     """(first_pos, pos) of every row that is not the first of its copies."""
     rows, ledger = count_copies(chunks)
-    return with_first(rows, ledger.frame()).where("pos <> first_pos").select("first_pos", "pos")
+    kept = materialise(ledger.frame(), "copy-counts")
+    ledger.drop()
+    return with_first(rows, kept).where("pos <> first_pos").select("first_pos", "pos")
 
 
 def collapse(chunks: DataFrame) -> DataFrame:
@@ -110,4 +136,6 @@ def collapse(chunks: DataFrame) -> DataFrame:
     Rows with fewer than 20 letters and digits, and null chunks, are left out.
     """
     _, ledger = count_copies(chunks)
-    return ledger.frame().join(chunks.select(F.col("pos").alias("first_pos"), "id", "chunk"), "first_pos").select("first_pos", "n_copies", "id", "chunk")
+    kept = materialise(ledger.frame(), "copy-counts")
+    ledger.drop()
+    return kept.join(chunks.select(F.col("pos").alias("first_pos"), "id", "chunk"), "first_pos").select("first_pos", "n_copies", "id", "chunk")

@@ -99,8 +99,8 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str, group: st
     return part.join(offsets, by).withColumn(out, F.col(out) + F.col("_offset")).drop("_task", "_offset")
 
 
-def queue(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 17) -> DataFrame:
-    """One row per document and repeat of the target sources: source, doc_id, repeat_no, n_tokens, weight, finish.
+def sized_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    """Documents of the target sources with their tokens (doc_id, source, n_tokens), and the targets that have some (source, weight, repeats, total, longest).
 
     Weights are scaled to 1 over the sources that have tokens. Documents without tokens, with a null
     source or of a source that is no target (or has weight <= 0 or max_repeats < 1) are left out;
@@ -109,10 +109,34 @@ def queue(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed:
     t = targets.where("source IS NOT NULL AND target_weight > 0 AND max_repeats >= 1").groupBy("source").agg(F.max("target_weight").alias("weight"), F.max("max_repeats").alias("repeats"))
     rows = docs.select("doc_id", "source", "text").join(t.select("source"), "source", "left_semi")
     sized = materialise(token_counts(rows, ["doc_id", "source"], tokenizer=tokenizer).where("n_tokens > 0"), "mix-tokens")
-    present = t.join(sized.select("source").distinct(), "source", "left_semi")
+    present = t.join(sized.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("longest")), "source")
     whole = present.agg(F.sum("weight")).first()[0] or 1.0
-    scaled = present.select("source", (F.col("weight") / whole).alias("weight"), "repeats")
-    copies = sized.join(scaled, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("repeats") - 1))).drop("repeats")
+    return sized, present.select("source", (F.col("weight") / whole).alias("weight"), "repeats", "total", "longest")
+
+
+def needed_repeats(present: DataFrame, budget: int) -> DataFrame:
+    """The targets with `repeats` cut to what the budget can use: one more than the last repeat that begins before it is spent.
+
+    By the virtual time at which the budget is spent: a source uses weight x time tokens until its repeats are used up,
+    and lags behind that by its longest document at most.
+    """
+    ends = present.select("weight", "longest", (F.col("repeats") * F.col("total")).alias("most")).collect()  # one row a target source
+    budget = budget + sum(r["longest"] for r in ends)
+    spent, time, rate = 0.0, 0.0, sum(r["weight"] for r in ends)
+    for end, weight in sorted((r["most"] / r["weight"], r["weight"]) for r in ends):
+        if rate <= 0 or spent + rate * (end - time) >= budget:
+            break
+        spent, time, rate = spent + rate * (end - time), end, rate - weight
+    else:
+        return present
+    time += (budget - spent) / max(rate, 1e-12)
+    return present.withColumn("repeats", F.least("repeats", (F.ceil(F.col("weight") * time / F.col("total")) + 1).cast("bigint")))
+
+
+def queue(sized: DataFrame, present: DataFrame, seed: int = 17) -> DataFrame:
+    """One row per document and repeat: source, doc_id, repeat_no, n_tokens, weight, finish."""
+    scaled = present.select("source", "weight", "repeats")
+    copies = sized.join(F.broadcast(scaled), "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("repeats") - 1))).drop("repeats")
     copies = copies.withColumn("_h", F.xxhash64("doc_id", "repeat_no", F.lit(seed)))
     done = running_sum(copies, ["source", "repeat_no", "_h", "doc_id"], "n_tokens", "_sum", "source")
     return done.select("source", "doc_id", "repeat_no", "n_tokens", "weight", (F.col("_sum") / F.col("weight")).alias("finish"))
@@ -122,11 +146,14 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, toke
     """The mixture: source, doc_id, repeat_no, n_tokens, weight, finish, up to the token budget.
 
     The default budget is the number of tokens of all target sources, each counted once. The
-    document that would pass the budget is left out, as are all after it.
+    document that would pass the budget is left out, as are all after it. Repeats that the budget
+    cannot reach are never made.
     """
-    line = materialise(queue(docs, targets, tokenizer), "mix-queue")
+    sized, present = sized_sources(docs, targets, tokenizer)
+    present = materialise(present, "mix-targets")
     if budget is None:
-        budget = line.where("repeat_no = 0").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        budget = present.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    line = materialise(queue(sized, needed_repeats(present, budget)), "mix-queue")
     placed = running_sum(line, ["finish", "source", "repeat_no", "doc_id"], "n_tokens", "_total")
     return placed.where(F.col("_total") <= budget).drop("_total")
 

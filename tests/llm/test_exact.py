@@ -104,6 +104,22 @@ def test_copies(chunks, chunk_rows):
     assert {f for f, _ in want} == {p for p, r in rows.items() if r["n_copies"] > 1}
 
 
+def test_ledger_goes_on(spark, tmp_path):
+    """A later session adds to a stored ledger; only buckets of the batch's keys are written again."""
+    path = f"file://{tmp_path}/ledger"
+    batch = lambda *r: spark.createDataFrame(list(r), "pos bigint, k1 bigint, k2 bigint")
+    ledger = copies.Ledger.create(spark, path, buckets=8)
+    assert len(ledger.add(batch(*((i, i % 20, 0) for i in range(10, 60))))) > 3
+    before = dict(ledger.state["folders"])
+    again = copies.Ledger.open(spark, path)
+    assert len(again.add(batch((3, 7, 0), (4, 7, 0), (5, 99, 1)))) <= 2 and again.add(batch()) == []
+    rows = {(r["k1"], r["k2"]): (r["first_pos"], r["n_copies"]) for r in copies.Ledger.open(spark, path).frame().collect()}
+    assert rows[7, 0] == (3, sum(i % 20 == 7 for i in range(10, 60)) + 2) and rows[99, 1] == (5, 1) and len(rows) == 21
+    assert sum(again.state["folders"][b] == f for b, f in before.items()) >= len(before) - 2
+    with pytest.raises(FileNotFoundError):
+        copies.Ledger.open(spark, f"file://{tmp_path}/none")
+
+
 def test_hot_copies(spark):
     rows = [(i, "x", "The same text in a third of all rows" if i % 3 else f"another text, number {i} of many", i % 4) for i in range(4000)]
     df = spark.createDataFrame(rows, "pos bigint, id string, chunk string, batch_no bigint")
@@ -447,6 +463,21 @@ def test_mixing(spark):
     assert mixing.mixture(d.limit(0), t).count() == 0 and mixing.mixture(d, t.limit(0)).count() == 0
 
 
+def test_repeats_that_the_budget_cannot_reach(spark, monkeypatch):
+    """Leaving them out changes nothing, for sources of a few tokens as well."""
+    rng = random.Random(11)
+    docs = [(i, rng.choice("aaaaaaaab"), "word " * rng.randrange(1, 200)) for i in range(200)] + [(900, "c", "three small words"), (901, "c", "x")]
+    d = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    t = spark.createDataFrame([("a", 0.3, 40), ("b", 0.4, 3), ("c", 0.3, 900)], "source string, target_weight double, max_repeats bigint")
+    for budget in (None, 500, 60_000):
+        m = got(mixing.mixture(d, t, budget).select("doc_id", "repeat_no"))
+        with monkeypatch.context() as whole:
+            whole.setattr(mixing, "needed_repeats", lambda present, budget: present)
+            assert m == got(mixing.mixture(d, t, budget).select("doc_id", "repeat_no"))
+    sized, present = mixing.sized_sources(d, t)
+    assert mixing.needed_repeats(present, 500).agg(F.max("repeats")).first()[0] < 300
+
+
 def test_running_sum_over_batches(spark):
     rows = [("ab"[i > 700], i, i % 7) for i in range(1000)]
     df = spark.createDataFrame(rows, "g string, i bigint, v bigint")
