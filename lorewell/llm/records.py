@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ MIN_LETTERS = 20
 # Field separators, name/value separators and field names of the flat record notation, ASCII or full width.
 _PARTS = regex.compile(r"[;；|｜\r\n]+")
 _FIELD = regex.compile(r"""\s*["'“”]?([\p{L}_][\p{L}\p{N}_\-]*(?: [\p{L}_\-]+)?)["'“”]?\s*[:：=＝](.*)""", regex.S)
+# What every record begins with, for a scan of whole columns: a brace, or a name before a separator.
+_BEGINS = r"^\s*[{｛]|^[^\p{L}_]*[\p{L}_][\p{L}\p{N}_\-]*(?: [\p{L}_\-]+)?[^\p{L}\p{N}]*[:：=＝]"
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -64,8 +67,9 @@ def chunk_keys(texts: pa.Array, codes: np.ndarray, off: np.ndarray) -> tuple[np.
     """(k1, k2, t): the 128-bit copy key of each text, and the 64-bit key of its letters alone."""
     t = K.text_keys(codes, off)
     k1, k2 = t.copy(), K.mix(t ^ K.text_keys(codes[::-1], off[-1] - off[::-1])[::-1])
-    for i, text in enumerate(texts.to_pylist()):
-        if text and (fields := record_fields(text)):
+    maybe = np.flatnonzero(pa.compute.fill_null(pa.compute.match_substring_regex(texts, _BEGINS), False).to_numpy(zero_copy_only=False))
+    for i, text in zip(maybe, texts.take(pa.array(maybe)).to_pylist(), strict=True):
+        if fields := record_fields(text):
             k1[i], k2[i] = np.frombuffer(record_key(fields), np.uint64)
     return k1, k2, t
 
