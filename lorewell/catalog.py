@@ -421,6 +421,22 @@ _FOUND = """WITH v AS (SELECT vec_no, id, chunk, vector::DOUBLE[] AS e FROM sema
             FROM v q, v c WHERE q.vec_no % 50 = 0 QUALIFY rk <= 5)"""
 
 
+def _cut_sql(name: str, source: str, mark: str) -> str:
+    """CTEs that cut the pieces (id, place, piece) of `source` that are too long at a mark, as `name`(id, place, piece)."""
+    strip = f"regexp_replace(substr(piece, 1 + b::BIGINT, coalesce(nxt, length(piece))::BIGINT - b::BIGINT), '^{_WS_V}+|{_WS_V}+$', '', 'g')"
+    after = f"list_min(list_transform(list_filter(parts, lambda x: x.b > {{0}} AND x.e > x.b AND x.e > {{0}} + {SETTINGS.segment_length - 1}), lambda x: x.b))"
+    return f"""{name}_l AS (SELECT id, place, piece, list_transform(string_split(piece, {mark}), lambda x: length(x)) AS n FROM {source} WHERE length(piece) > {SETTINGS.segment_length}),
+        {name}_p AS (SELECT id, place, piece, list_transform(generate_series(1, len(n)), lambda j: {{'b': coalesce(list_sum(n[1:j - 1]), 0) + j - 1, 'e': coalesce(list_sum(n[1:j]), 0) + j - 1}}) AS parts FROM {name}_l),
+        {name}_c AS (SELECT id, place, piece, parts, 0::DOUBLE AS b, ({after.format("0")})::DOUBLE AS nxt FROM {name}_p
+            UNION ALL SELECT id, place, piece, parts, nxt, ({after.format("nxt")})::DOUBLE FROM {name}_c WHERE nxt IS NOT NULL),
+        {name} AS (SELECT id, place || [b] AS place, {strip} AS piece FROM {name}_c UNION ALL SELECT id, place || [0], piece FROM {source} WHERE length(piece) <= {SETTINGS.segment_length})"""
+
+
+_SEGMENTS = f"""s0 AS (SELECT page_id AS id, []::DOUBLE[] AS place, regexp_replace(text, '^{_WS_V}+|{_WS_V}+$', '', 'g') AS piece FROM web_results WHERE text IS NOT NULL),
+        {_cut_sql("s1", "s0", "chr(10)")}, {_cut_sql("s2", "s1", "'。'")}, sg AS (SELECT id AS pos, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS i, piece AS segment FROM s2)"""
+_SENTENCES = rf"""{_SEGMENTS}, st AS (SELECT regexp_replace(segment, '[\x{{0B}}\x{{1C}}-\x{{1F}}{_WS[1:-1]}]+', ' ', 'g') AS sentence, pos, i FROM sg)"""
+
+
 def _letters_sql(key: str, text: str, source: str) -> str:
     return f"""SELECT {key}, unnest(generate_series(0, 25)) AS i, unnest({_LETTERS.format("t")}) AS x
         FROM (SELECT {key}, substr({text}, 1, 8000) AS t FROM {source}) WHERE length(t) > 0"""
@@ -496,6 +512,13 @@ def oracle_sql() -> dict[str, str]:
         "page_results": """SELECT url, page_id AS pos, trim(split_part(title, '-', 1)) AS title FROM web_results
             WHERE contains(url, 'http') AND NOT contains(url, 'doc.') QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
         "web_background": f"SELECT page_id AS pos, substr(trim(regexp_replace(text, '{_WS_V}+', ' ', 'g')), 1, 1500) AS background FROM web_results",
+        "segment_text": f"WITH RECURSIVE {_SEGMENTS} SELECT pos, i, segment FROM sg",
+        "recall_sentences": f"WITH RECURSIVE {_SENTENCES} SELECT sentence, min(pos) AS pos FROM st WHERE length(sentence) >= 20 GROUP BY sentence",
+        "recall_keywords": f"""WITH RECURSIVE {_SENTENCES}, t AS (SELECT title FROM ({_TITLES}) ORDER BY score DESC, pos LIMIT 3),
+            c AS (SELECT page_id FROM web_results w WHERE EXISTS (SELECT 1 FROM t WHERE t.title IS NOT DISTINCT FROM w.title)),
+            f AS (SELECT sentence, min({{'pos': pos, 'i': i}}) AS place FROM st WHERE length(sentence) >= 20 AND pos IN (SELECT page_id FROM c) GROUP BY sentence),
+            b AS (SELECT sentence, place FROM f ORDER BY place LIMIT 6)
+            SELECT coalesce(string_agg(sentence, chr(10) ORDER BY place), '') AS background FROM b""",
         "keywords_tfidf": r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS word FROM documents),
             tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
             n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lorewell.functions.text import file_extension
 from lorewell.operators.chunking import chunk_documents
+from lorewell.plans.session import cut
 from lorewell.sources.files import decode_column
 from lorewell.sources.knowledge_base import KnowledgeBases
 
@@ -22,7 +23,7 @@ def stream_ingest(spark: SparkSession, folder: str, bases: KnowledgeBases, kb: s
 
     def merge(batch: DataFrame, _: int) -> None:
         chunks = chunk_documents(batch)
-        numbered = chunks.withColumn("pos", F.monotonically_increasing_id())
-        bases.merge(kb, numbered)
+        # checkpointed, since the merge reads the places twice
+        bases.merge(kb, cut(chunks.withColumn("pos", F.monotonically_increasing_id())))
 
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
