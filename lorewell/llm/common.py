@@ -20,10 +20,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: the plan is cut, and a lost executor loses nothing."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: the plan is cut, and a lost executor loses nothing. Rows of one value of `by` can be read alone."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
