@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Control characters that cleaning deletes (tab, line feed and carriage return stay, to be collapsed as white space).
+# Fixed value: control characters that cleaning deletes (tab, line feed and carriage return stay, to be collapsed as white space).
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # White space of Unicode; the plain \s of Java knows ASCII only.
 SPACE = r"(?U)\s+"
@@ -95,6 +95,7 @@ def parse_reasoning(c: Column) -> Column:
         F.coalesce(raw["follow_up_queries"], empty).alias("follow_up_queries"),
         F.coalesce(raw["is_sufficient"], F.lit(False)).alias("is_sufficient"),
     )
+    # The step that stands for one that cannot be read.
     fallback = F.struct(
         F.lit("无法分析检索到的信息。").alias("analysis"),
         F.array(F.lit("无法识别缺失信息")).alias("missing_info"),

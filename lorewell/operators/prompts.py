@@ -89,6 +89,7 @@ def reasoning_trace(steps: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(steps, line), ""), F.lit(""))
 
 
+# Fixed value: the task that a reasoner is given.
 _REASONING_TASK = """
 
 ## 你的任务
