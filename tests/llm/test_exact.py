@@ -202,6 +202,42 @@ def test_forest_is_reopened_and_merged(spark, chunks, chunk_rows, tmp_path, monk
         forest.Forest.open(spark, f"file://{tmp_path}/c")
 
 
+def test_forest_leaves_out_unlike_texts(spark):
+    """Texts that share a phrase meet in some tree, as the square of their number; next to none of them goes on to the exact check."""
+    rng = random.Random(11)
+    phrase = "so that the arbiter of the second clock domain must stay stable for the same number of cycles"
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = [(i, phrase + " " + " ".join(word() for _ in range(28)), i % 2) for i in range(1000)]
+    rows += [(1000 + i, rows[2 * i][1] + " edited", 1) for i in range(50)]
+    chunks = spark.createDataFrame(rows, "pos bigint, chunk string, batch_no bigint").repartition(4)
+    texts = forest.materialise(forest.texts_of(forest.marks(chunks)), "texts")
+    f = forest.Forest.create(spark, texts=texts.count())
+    assert f.search(texts.where("batch_no = 0")) is None
+    pairs = got(f.search(texts.where("batch_no = 1")).select("pos", "other_pos"))
+    assert f.state["depth"] == 3  # where unlike texts meet most
+    f.drop()
+    edited = {(1000 + i, 2 * i) for i in range(50)}
+    assert edited <= pairs and len(pairs - edited) <= 10
+
+
+def test_forest_is_planned_by_its_texts(spark, tmp_path):
+    """A forest has buckets for its entries, whatever the shuffle partitions; one with other bits is refused."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        f = forest.Forest.create(spark, f"file://{tmp_path}/few", 1000)
+        many = forest.Forest.create(spark, f"file://{tmp_path}/many", 10_000_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert f.state["buckets"] == 16 and 105 <= many.state["buckets"] < 125
+    many.drop()
+    f.state.pop("bits", None)
+    f._save()
+    f.close()
+    with pytest.raises(ValueError):
+        forest.Forest.open(spark, f"file://{tmp_path}/few")
+
+
 def test_forest_measures_recall(spark):
     seen = lambda once, twice, more: spark.createDataFrame([(i, s) for i, s in enumerate([1] * once + [2] * twice + [5] * more)], "pos int, seen int")
     assert forest.measured_recall(seen(0, 0, 9)) == 1.0
